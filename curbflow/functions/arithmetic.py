@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +15,6 @@ def sum_or_zero(column: Column) -> Column:
     return F.sum(zero_if_null(column))
 
 
-def sum_of_present(parts: list[Column]) -> Column:
-    """Row-wise sum that treats null parts as 0 but is null when every part is null."""
-    any_present = reduce(lambda a, b: a | b, [part.isNotNull() for part in parts])
-    return F.when(any_present, reduce(lambda a, b: a + b, [zero_if_null(part) for part in parts]))
-
-
 def ratio_if_positive(numerator: Column, denominator: Column) -> Column:
     """Quotient, null unless the denominator is above zero."""
     return F.when(denominator > 0, numerator / denominator)

@@ -15,7 +15,11 @@ def fold_name(name: str) -> str:
 
 
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted_sql(name))
+
+
+def quoted_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def physical_names(columns: Iterable[str], aliases: Sequence[str]) -> list[str]:
@@ -27,18 +31,23 @@ def physical_names(columns: Iterable[str], aliases: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(hit for hit in hits if hit is not None))
 
 
-def typed_column(
-    df: DataFrame, aliases: Sequence[str], dtype: str, *, per_row: bool = False
-) -> Column:
-    """The aliased column cast to ``dtype``, or a typed null when no alias exists.
+def typed_sql(
+    columns: Sequence[str], aliases: Sequence[str], dtype: str, *, per_row: bool = False
+) -> str:
+    """SQL for the aliased column cast to ``dtype``, or a typed null when no alias exists.
+
+    Text rather than ``Column`` objects: a canonical projection has some forty of these, and one
+    ``selectExpr`` is a single round trip to the JVM.
 
     ``per_row`` is for frames that hold several families side by side: the first alias that is
     filled in on the row is taken instead of the first that exists in the schema.
     """
-    found = [quoted(name).try_cast(dtype) for name in physical_names(df.columns, aliases)]
+    found = [
+        f"try_cast({quoted_sql(name)} AS {dtype})" for name in physical_names(columns, aliases)
+    ]
     if not found:
-        return F.lit(None).cast(dtype)
-    return F.coalesce(*found) if per_row and len(found) > 1 else found[0]
+        return f"CAST(NULL AS {dtype})"
+    return f"coalesce({', '.join(found)})" if per_row and len(found) > 1 else found[0]
 
 
 def require_column(df: DataFrame, aliases: Sequence[str], purpose: str) -> str:
@@ -53,7 +62,7 @@ def optional_column(df: DataFrame, aliases: Sequence[str]) -> str | None:
     return hits[0] if hits else None
 
 
-def present(df: DataFrame, names: Sequence[str], default: object, dtype: str) -> Column:
-    """Coalesce over those of ``names`` that exist exactly; the default when none exists."""
-    found = [F.col(name).cast(dtype) for name in names if name in df.columns]
-    return F.coalesce(*found) if found else F.lit(default).cast(dtype)
+def present_sql(columns: Sequence[str], names: Sequence[str], default: str, dtype: str) -> str:
+    """SQL coalescing those of ``names`` that exist exactly; the default when none exists."""
+    found = [f"try_cast({quoted_sql(n)} AS {dtype})" for n in names if n in columns]
+    return f"coalesce({', '.join(found)})" if found else f"try_cast({default} AS {dtype})"

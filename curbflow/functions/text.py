@@ -32,5 +32,6 @@ def file_id(url: Column, filename: Column) -> Column:
     return F.sha2(F.when(F.length(url) > 0, url).otherwise(filename), 256)
 
 
-def trip_filename(service: Column, year: Column, month: Column) -> Column:
-    return F.format_string("%s_tripdata_%d-%02d.parquet", service, year, month)
+def trip_filename(service: str, year: str, month: str) -> str:
+    """SQL for the published name of a monthly file, from SQL for its parts."""
+    return f"format_string('%s_tripdata_%d-%02d.parquet', {service}, {year}, {month})"

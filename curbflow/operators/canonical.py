@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from curbflow.functions.arithmetic import sum_of_present
-from curbflow.functions.naming import typed_column
+from pyspark.sql import DataFrame
+
+from curbflow.functions.naming import typed_sql
 from curbflow.schema import DROPOFF_ALIASES, PICKUP_ALIASES, TOTAL_PARTS, TRIP_TARGETS
 from curbflow.settings import SERVICES
 
 
+def minutes_between(start: str, end: str) -> str:
+    return f"(CAST({end} AS bigint) - CAST({start} AS bigint)) / 60.0D"
+
+
+def sum_present_sql(parts: Sequence[str]) -> str:
+    """Row-wise sum that treats null parts as 0 but is null when every part is null."""
+    total = " + ".join(f"coalesce({part}, 0D)" for part in parts)
+    return f"CASE WHEN coalesce({', '.join(parts)}) IS NOT NULL THEN {total} END"
+
+
 def _merged(aliases: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(alias for service in SERVICES for alias in aliases[service]))
 
@@ -18,57 +28,47 @@ def _merged(aliases: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
 def canonical_trips(
     raw: DataFrame,
     *,
-    service: str | Column,
-    year: Column | int,
-    month: Column | int,
-    source_file: Column | str | None = None,
-    source_path: Column | str | None = None,
+    year: str | int,
+    month: str | int,
+    service: str | None = None,
+    service_column: str | None = None,
+    source_file: str = "NULL",
+    source_path: str = "NULL",
 ) -> DataFrame:
     """Project raw trips onto the canonical schema; never filters, deduplicates or samples.
 
-    ``year`` and ``month`` are the file's period. They may be columns, so a whole family is read
-    in one scan with the period taken from each row's own file name. ``service`` is a family name,
-    or a column when the frame holds several families side by side.
+    ``year``, ``month``, ``source_file`` and ``source_path`` are SQL expressions, so a whole family
+    is read in one scan with the period taken from each row's own file name. Name one ``service``,
+    or the ``service_column`` of a frame that holds several families side by side.
     """
-    mixed = isinstance(service, Column)
-    if not mixed:
-        if service.casefold() not in SERVICES:
-            raise ValueError(f"unknown service: {service}")
-        service = service.casefold()
-    pickup = _merged(PICKUP_ALIASES) if mixed else PICKUP_ALIASES[service]
-    dropoff = _merged(DROPOFF_ALIASES) if mixed else DROPOFF_ALIASES[service]
-
-    def text(value: Column | str | None) -> Column:
-        return value if isinstance(value, Column) else F.lit(value).cast("string")
+    if (service is None) == (service_column is None):
+        raise ValueError("name either a service or a service column")
+    if service is not None and service.casefold() not in SERVICES:
+        raise ValueError(f"unknown service: {service}")
+    mixed = service is None
+    family = service_column if mixed else f"'{service.casefold()}'"
+    pickup = _merged(PICKUP_ALIASES) if mixed else PICKUP_ALIASES[service.casefold()]
+    dropoff = _merged(DROPOFF_ALIASES) if mixed else DROPOFF_ALIASES[service.casefold()]
+    columns = raw.columns
 
-    def number(value: Column | int) -> Column:
-        return (value if isinstance(value, Column) else F.lit(value)).cast("int")
+    def aliased(name: str, dtype: str, aliases: Sequence[str]) -> str:
+        return f"{typed_sql(columns, aliases, dtype, per_row=mixed)} AS {name}"
 
-    resolved = raw.select(
-        text(source_file).alias("source_file"),
-        text(source_path).alias("source_path"),
-        text(service).alias("service"),
-        number(year).alias("year"),
-        number(month).alias("month"),
-        typed_column(raw, pickup, "timestamp", per_row=mixed).alias("pickup_datetime"),
-        typed_column(raw, dropoff, "timestamp", per_row=mixed).alias("dropoff_datetime"),
-        *(
-            typed_column(raw, target.aliases, target.dtype, per_row=mixed).alias(target.name)
-            for target in TRIP_TARGETS
-        ),
+    resolved = raw.selectExpr(
+        f"CAST({source_file} AS string) AS source_file",
+        f"CAST({source_path} AS string) AS source_path",
+        f"CAST({family} AS string) AS service",
+        f"CAST({year} AS int) AS year",
+        f"CAST({month} AS int) AS month",
+        aliased("pickup_datetime", "timestamp", pickup),
+        aliased("dropoff_datetime", "timestamp", dropoff),
+        *(aliased(t.name, t.dtype, t.aliases) for t in TRIP_TARGETS),
     )
-    return resolved.withColumns(
-        {
-            "fare_amount": F.coalesce("fare_amount", "base_passenger_fare"),
-            "total_amount": F.coalesce(
-                F.col("total_amount"), sum_of_present([F.col(part) for part in TOTAL_PARTS])
-            ),
-            "trip_duration_minutes": duration_minutes(
-                F.col("pickup_datetime"), F.col("dropoff_datetime")
-            ),
-        }
+    derived = {
+        "fare_amount": "coalesce(fare_amount, base_passenger_fare)",
+        "total_amount": f"coalesce(total_amount, {sum_present_sql(TOTAL_PARTS)})",
+    }
+    return resolved.selectExpr(
+        *(f"{derived[c]} AS {c}" if c in derived else c for c in resolved.columns),
+        f"{minutes_between('pickup_datetime', 'dropoff_datetime')} AS trip_duration_minutes",
     )
-
-
-def duration_minutes(start: Column, end: Column) -> Column:
-    return (end.cast("bigint") - start.cast("bigint")) / F.lit(60.0)

@@ -23,7 +23,9 @@ def _zscore(value: str, mean: str, deviation: str) -> Column:
 def daily_anomalies(daily: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     """Score each day against its own service, zone and weekday.
 
-    The direction follows demand only: a day flagged for revenue alone reads NORMAL.
+    The direction follows demand only: a day flagged for revenue alone reads NORMAL. Scores are
+    compared at nine decimals, so a score exactly on the threshold does not depend on the order
+    in which a standard deviation was summed.
     """
     peers = Window.partitionBy("service", "pickup_location_id", "pickup_day_of_week")
     scored = daily.withColumns(
@@ -41,10 +43,10 @@ def daily_anomalies(daily: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> D
             ),
         }
     )
-    demand = F.col("demand_zscore")
+    demand, revenue = F.round("demand_zscore", 9), F.round("revenue_zscore", 9)
     return scored.withColumns(
         {
-            "is_anomaly": F.greatest(F.abs(demand), F.abs("revenue_zscore")) >= threshold,
+            "is_anomaly": F.greatest(F.abs(demand), F.abs(revenue)) >= threshold,
             "anomaly_direction": F.when(demand >= threshold, "HIGH")
             .when(demand <= -threshold, "LOW")
             .otherwise("NORMAL"),

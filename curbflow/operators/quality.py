@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.schema import OPTIONAL_SILVER, REQUIRED_SILVER
@@ -21,47 +21,34 @@ RULE_CODES = {
 }
 
 
-def _holds(condition: Column) -> Column:
-    """A rule over a null value fails; it is never unknown."""
-    return F.coalesce(condition, F.lit(False))
-
-
-def quality_flags(limits: QualityLimits = QualityLimits()) -> dict[str, Column]:
-    pickup, minutes = F.col("pickup_datetime"), F.col("trip_duration_minutes")
-    unpriced = F.col("service") == "fhv"  # this family publishes neither distance nor fare
-
-    def located(name: str) -> Column:
-        return _holds(F.col(name).between(limits.location_min, limits.location_max))
-
-    return {
-        "dq_pickup_datetime_valid": pickup.isNotNull(),
-        "dq_dropoff_datetime_valid": F.col("dropoff_datetime").isNotNull(),
-        "dq_period_valid": _holds(
-            (F.year(pickup) == F.col("year")) & (F.month(pickup) == F.col("month"))
-        ),
-        "dq_duration_valid": _holds((minutes > 0.0) & (minutes <= limits.max_duration_minutes)),
-        "dq_pickup_location_valid": located("pickup_location_id"),
-        "dq_dropoff_location_valid": located("dropoff_location_id"),
-        "dq_distance_valid": unpriced
-        | _holds(F.col("trip_distance").between(0.0, limits.max_distance_miles)),
-        "dq_total_amount_valid": unpriced
-        | _holds(F.abs("total_amount") <= limits.max_total_amount),
+def quality_flags(limits: QualityLimits = QualityLimits()) -> dict[str, str]:
+    """Flag -> SQL condition. A rule over a null value fails; it is never unknown."""
+    priced = "service <> 'fhv'"  # that family publishes neither distance nor fare
+    located = "BETWEEN {0.location_min} AND {0.location_max}".format(limits)
+    conditions = {
+        "dq_pickup_datetime_valid": "pickup_datetime IS NOT NULL",
+        "dq_dropoff_datetime_valid": "dropoff_datetime IS NOT NULL",
+        "dq_period_valid": "year(pickup_datetime) = year AND month(pickup_datetime) = month",
+        "dq_duration_valid": "trip_duration_minutes > 0 "
+        f"AND trip_duration_minutes <= {limits.max_duration_minutes}D",
+        "dq_pickup_location_valid": f"pickup_location_id {located}",
+        "dq_dropoff_location_valid": f"dropoff_location_id {located}",
+        "dq_distance_valid": f"NOT ({priced}) "
+        f"OR trip_distance BETWEEN 0 AND {limits.max_distance_miles}D",
+        "dq_total_amount_valid": f"NOT ({priced}) "
+        f"OR abs(total_amount) <= {limits.max_total_amount}D",
     }
+    return {flag: f"coalesce({condition}, false)" for flag, condition in conditions.items()}
 
 
 def with_quality(trips: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
     """Add the eight flags, the ordered list of failed rules, its size and the verdict."""
-    flagged = trips.withColumns(quality_flags(limits))
-    failed = F.array_compact(
-        F.array(*(F.when(~F.col(flag), F.lit(code)) for flag, code in RULE_CODES.items()))
-    )
-    everything = [F.col(flag) for flag in RULE_CODES]
-    verdict = everything[0]
-    for flag in everything[1:]:
-        verdict = verdict & flag
-    return flagged.withColumns({"dq_errors": failed, "dq_valid": verdict}).withColumn(
-        "dq_error_count", F.size("dq_errors")
+    flagged = trips.selectExpr("*", *(f"{c} AS {f}" for f, c in quality_flags(limits).items()))
+    codes = ", ".join(f"CASE WHEN NOT {flag} THEN '{code}' END" for flag, code in RULE_CODES.items())
+    listed = flagged.selectExpr(
+        "*", f"array_compact(array({codes})) AS dq_errors", f"{' AND '.join(RULE_CODES)} AS dq_valid"
     )
+    return listed.selectExpr("*", "size(dq_errors) AS dq_error_count")
 
 
 def silver_contract(df: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.functions.naming import require_column, quoted
+from curbflow.functions.naming import quoted_sql, require_column
 
 UNKNOWN = "Unknown"
+LABELS = ("borough", "zone", "service_zone")
 
 
 def canonical_zones(raw: DataFrame) -> DataFrame:
@@ -16,19 +17,18 @@ def canonical_zones(raw: DataFrame) -> DataFrame:
     Several rows under one id are settled by the smallest (borough, zone, service_zone), so the
     answer does not depend on the order in which files are read.
     """
-    named = raw.select(
-        quoted(require_column(raw, ("location_id",), "zone id"))
-        .try_cast("int")
-        .alias("location_id"),
+    key = quoted_sql(require_column(raw, ("location_id",), "zone id"))
+    named = raw.selectExpr(
+        f"try_cast({key} AS int) AS location_id",
         *(
-            quoted(require_column(raw, (name,), name)).cast("string").alias(name)
-            for name in ("borough", "zone", "service_zone")
+            f"CAST({quoted_sql(require_column(raw, (name,), name))} AS string) AS {name}"
+            for name in LABELS
         ),
     )
     return (
-        named.filter(F.col("location_id").isNotNull())
+        named.where("location_id IS NOT NULL")
         .groupBy("location_id")
-        .agg(F.min(F.struct("borough", "zone", "service_zone")).alias("names"))
+        .agg(F.min(F.struct(*LABELS)).alias("names"))
         .select("location_id", "names.*")
     )
 
@@ -40,16 +40,13 @@ def attach_zone(trips: DataFrame, zones: DataFrame, role: str) -> DataFrame:
     size is below the session's threshold and fall back to a skew-aware sort-merge join above it.
     """
     key = f"_{role}_zone_key"
-    labels = zones.select(
-        F.col("location_id").alias(key),
-        *(F.col(name).alias(f"{role}_{name}") for name in ("borough", "zone", "service_zone")),
+    labels = zones.selectExpr(
+        f"location_id AS {key}", *(f"{name} AS {role}_{name}" for name in LABELS)
     )
-    joined = trips.join(labels, trips[f"{role}_location_id"] == labels[key], "left").drop(key)
-    return joined.withColumns(
-        {
-            f"{role}_{name}": F.coalesce(F.col(f"{role}_{name}"), F.lit(UNKNOWN))
-            for name in ("borough", "zone", "service_zone")
-        }
+    joined = trips.join(labels, trips[f"{role}_location_id"] == labels[key], "left")
+    return joined.selectExpr(
+        *trips.columns,
+        *(f"coalesce({role}_{name}, '{UNKNOWN}') AS {role}_{name}" for name in LABELS),
     )
 
 

@@ -20,6 +20,9 @@ def build_session(app: str = "curbflow", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The JVM never compiles methods above 8000 bytes; beyond that, split generated code
+        # runs compiled while one fused method would run interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.sql.parquet.mergeSchema", "false")
         .config("spark.sql.files.ignoreCorruptFiles", "false")

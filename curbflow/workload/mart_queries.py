@@ -10,18 +10,18 @@ from curbflow.operators.diagnostics import daily_anomalies, demand_labels
 from curbflow.operators.zone_features import ZONE_FEATURES, zone_day, zone_features
 from curbflow.workload.oracle_base import sql
 from curbflow.workload.registry import query, tidied, tidy, tidy_sql
-from curbflow.workload.trips import enriched_trips
+from curbflow.workload.trips import enriched_trips, mart
 
 TEST_DAYS = 21
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.daily_demand(enriched_trips(spark, sf_dir))
+    return mart(spark, sf_dir, "daily")
 
 
 @query("daily_demand", sql("SELECT * FROM daily", "daily"))
 def daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir)
+    return marts.daily_demand(enriched_trips(spark, sf_dir))
 
 
 @query("hourly_profile", sql("SELECT * FROM hourly", "hourly"))
@@ -119,7 +119,7 @@ FROM (
 )
 """, "hourly"))
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand_labels(marts.hourly_profile(enriched_trips(spark, sf_dir)))
+    return demand_labels(mart(spark, sf_dir, "hourly"))
 
 
 @query("daily_service", sql("SELECT * FROM service_day", "service_day"))

@@ -219,8 +219,8 @@ FROM (
 
 block("anomalies", "daily", body="""
 SELECT *,
-  greatest(abs(demand_zscore), abs(revenue_zscore)) >= 3.0 AS is_anomaly,
-  CASE WHEN demand_zscore >= 3.0 THEN 'HIGH' WHEN demand_zscore <= -3.0 THEN 'LOW' ELSE 'NORMAL' END AS anomaly_direction
+  greatest(abs(round(demand_zscore, 9)), abs(round(revenue_zscore, 9))) >= 3.0 AS is_anomaly,
+  CASE WHEN round(demand_zscore, 9) >= 3.0 THEN 'HIGH' WHEN round(demand_zscore, 9) <= -3.0 THEN 'LOW' ELSE 'NORMAL' END AS anomaly_direction
 FROM (
   SELECT *,
     CASE WHEN baseline_stddev_trips > 0 THEN (trip_count - baseline_avg_trips) / baseline_stddev_trips ELSE 0.0 END AS demand_zscore,

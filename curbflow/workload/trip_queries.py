@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbflow.functions.arithmetic import sum_of_present
 from curbflow.functions.calendar import calendar_columns, is_night, is_rush, is_weekend
-from curbflow.functions.naming import typed_column
-from curbflow.functions.text import file_id, normalise_text, route_label, trip_filename
-from curbflow.operators.canonical import canonical_trips, duration_minutes
+from curbflow.functions.naming import typed_sql
+from curbflow.functions.text import file_id, normalise_text, route_label
+from curbflow.operators.canonical import minutes_between, sum_present_sql
 from curbflow.operators.quality import (
     RULE_CODES,
     invalid_only,
@@ -31,7 +30,7 @@ from curbflow.workload.trips import (
     canonical_family,
     enriched_trips,
     family_frame,
-    mixed_frame,
+    scored_trips,
     silver_trips,
     table,
     trip_facts,
@@ -119,9 +118,9 @@ def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     for family in SERVICES:
         raw = family_frame(facts, family)
         parts.append(
-            raw.select(
-                F.lit(family).alias("service"),
-                *(typed_column(raw, a, t).alias(name) for name, (a, t) in wanted.items()),
+            raw.selectExpr(
+                f"'{family}' AS service",
+                *(f"{typed_sql(raw.columns, a, t)} AS {name}" for name, (a, t) in wanted.items()),
             )
         )
     return (
@@ -154,15 +153,17 @@ FROM (
 """)
 def total_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null-aware total with every combination of missing parts; null when all are missing."""
-    part = F.col("l_partkey")
-    parts = [
-        F.when(part % 2 == 0, F.floor(F.col("l_extendedprice") / 1000).cast("double")),
-        F.when(part % 3 == 0, F.col("l_quantity") / 4),
-        F.when(part % 5 == 0, F.col("l_quantity") / 2),
-        F.when(part % 7 == 0, F.col("l_quantity")),
-    ]
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", sum_of_present(parts).alias("total_amount")
+    parts = {
+        "base": "CASE WHEN l_partkey % 2 = 0 THEN CAST(floor(l_extendedprice / 1000) AS double) END",
+        "toll": "CASE WHEN l_partkey % 3 = 0 THEN l_quantity / 4 END",
+        "tax": "CASE WHEN l_partkey % 5 = 0 THEN l_quantity / 2 END",
+        "tip": "CASE WHEN l_partkey % 7 = 0 THEN l_quantity END",
+    }
+    key = ("l_orderkey", "l_linenumber", "l_partkey")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .selectExpr(*key, *(f"{text} AS {name}" for name, text in parts.items()))
+        .selectExpr(*key, f"{sum_present_sql(list(parts))} AS total_amount")
     )
 
 
@@ -172,12 +173,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
 def trip_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        "l_orderkey",
-        "l_linenumber",
-        duration_minutes(
-            F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")
-        ).alias("minutes"),
+    return (
+        items.join(orders, items.l_orderkey == orders.o_orderkey)
+        .selectExpr(
+            "l_orderkey",
+            "l_linenumber",
+            "CAST(o_orderdate AS timestamp) AS start",
+            "CAST(l_shipdate AS timestamp) AS end",
+        )
+        .selectExpr("l_orderkey", "l_linenumber", f"{minutes_between('start', 'end')} AS minutes")
     )
 
 
@@ -194,14 +198,14 @@ SELECT {_TRIP_KEY_SQL}, {stamp_sql("pickup_datetime")},
 FROM silver
 """, "silver"))
 def dq_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_trips(spark, sf_dir).select(*_TRIP_KEY, stamp("pickup_datetime"), *RULE_CODES)
+    return scored_trips(spark, sf_dir).select(*_TRIP_KEY, stamp("pickup_datetime"), *RULE_CODES)
 
 
 @query("dq_errors", sql(f"""
 SELECT {_TRIP_KEY_SQL}, {stamp_sql("pickup_datetime")}, dq_errors, dq_error_count, dq_valid FROM silver
 """, "silver"))
 def dq_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_trips(spark, sf_dir).select(
+    return scored_trips(spark, sf_dir).select(
         *_TRIP_KEY,
         stamp("pickup_datetime"),
         F.array_join("dq_errors", ",").alias("dq_errors"),

@@ -6,13 +6,17 @@ whole and quarter fractions, so sums of doubles are exact in any order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from curbflow.functions.text import trip_filename
+from curbflow.operators import marts
 from curbflow.operators.canonical import canonical_trips
 from curbflow.operators.quality import valid_only, with_quality
 from curbflow.operators.zones import canonical_zones, enrich_trips
+from curbflow.schema import PARTITION_COLUMNS
+from curbflow.session import scratch_path
 from curbflow.settings import SERVICES
 
 
@@ -20,61 +24,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Neutral column -> SQL over line item, order, customer and supplier.
+DAY0 = (
+    "date_add(DATE'2023-01-01', "
+    "CAST(datediff(CAST(o_orderdate AS date), DATE'1995-01-01') % 180 AS int))"
+)
+LENGTH = (
+    "CASE WHEN l_partkey % 83 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN -5 "
+    "WHEN l_partkey % 79 = 0 THEN 2000 ELSE CAST(l_quantity AS int) END"
+)
+START = (
+    "CAST(unix_date(day0) AS bigint) * 86400 + CASE WHEN l_partkey % 97 = 0 THEN 31 * 86400 ELSE 0 END"
+    " + ((l_orderkey * 37 + l_linenumber * 11) % 1440) * 60"
+)
+FAMILY = (
+    "CASE l_orderkey % 4 WHEN 0 THEN 'yellow' WHEN 1 THEN 'green' WHEN 2 THEN 'fhv' ELSE 'fhvhv' END"
+)
+FACTS = {
+    "family": FAMILY,
+    "file_year": "2023",
+    "file_month": "month(day0)",
+    "began": "timestamp_seconds(start)",
+    "ended": "timestamp_seconds(start + length * 60)",
+    "requested": "timestamp_seconds(start - 300)",
+    "seconds": "CAST(length * 60 AS bigint)",
+    "origin": "CASE WHEN l_partkey % 101 = 0 THEN 999 ELSE s_nationkey + 1 END",
+    "destination": "CASE WHEN l_partkey % 103 = 0 THEN NULL ELSE c_nationkey + 1 END",
+    "miles": "CASE WHEN l_partkey % 107 = 0 THEN 600D ELSE l_quantity / 4 END",
+    "fare": "whole",
+    "tip": "floor(whole * l_discount * 4) / 4D",
+    "tax": "floor(whole * l_tax * 4) / 4D",
+    "tolls": "CASE WHEN l_partkey % 109 = 0 THEN 20000D ELSE 0D END",
+    "payment": "l_linenumber % 6 + 1",
+    "riders": "l_linenumber",
+    "extra": "(l_linenumber % 3) * 0.5D",
+    "congestion": "CASE WHEN l_linenumber % 2 = 1 THEN 2.75D END",
+    "vendor": "l_suppkey % 2 + 1",
+    "base": "format_string('B%05d', l_suppkey)",
+}
+
+
 def trip_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items joined to their order, customer and supplier under neutral names."""
+    """Line items joined to their order, customer and supplier under neutral names.
+
+    Day arithmetic is done on orders before the join: once per order, not once per line.
+    """
     items = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_custkey", f"{DAY0} AS day0"
+    )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = (
         items.join(orders, items.l_orderkey == orders.o_orderkey)
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    part, line = F.col("l_partkey"), F.col("l_linenumber")
-
-    def every(n: int) -> Column:
-        return part % n == 0
-
-    shift = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 180
-    day0 = F.date_add(F.lit("2023-01-01").cast("date"), shift.cast("int"))
-    minute_of_day = (F.col("l_orderkey") * 37 + line * 11) % 1440
-    start = (
-        F.unix_date(day0).cast("bigint") * 86400
-        + F.when(every(97), 31 * 86400).otherwise(0)
-        + minute_of_day * 60
-    )
-    length = (
-        F.when(every(83), F.lit(None).cast("int"))
-        .when(every(89), -5)
-        .when(every(79), 2000)
-        .otherwise(F.col("l_quantity").cast("int"))
-    )
-    fare = F.floor(F.col("l_extendedprice") / 1000).cast("double")
-    return joined.select(
-        F.element_at(
-            F.array(*(F.lit(s) for s in SERVICES)), (F.col("l_orderkey") % 4 + 1).cast("int")
-        ).alias("family"),
-        F.lit(2023).alias("file_year"),
-        F.month(day0).alias("file_month"),
-        F.timestamp_seconds(start).alias("began"),
-        F.timestamp_seconds(start + length * 60).alias("ended"),
-        F.timestamp_seconds(start - 300).alias("requested"),
-        (length * 60).cast("bigint").alias("seconds"),
-        F.when(every(101), 999).otherwise(F.col("s_nationkey") + 1).alias("origin"),
-        F.when(~every(103), F.col("c_nationkey") + 1).alias("destination"),
-        F.when(every(107), 600.0).otherwise(F.col("l_quantity") / 4).alias("miles"),
-        fare.alias("fare"),
-        (F.floor(fare * F.col("l_discount") * 4) / 4.0).alias("tip"),
-        (F.floor(fare * F.col("l_tax") * 4) / 4.0).alias("tax"),
-        F.when(every(109), 20000.0).otherwise(0.0).alias("tolls"),
-        (line % 6 + 1).alias("payment"),
-        line.alias("riders"),
-        ((line % 3) * F.lit(0.5)).alias("extra"),
-        F.when(line % 2 == 1, 2.75).alias("congestion"),
-        (F.col("l_suppkey") % 2 + 1).alias("vendor"),
-        F.format_string("B%05d", "l_suppkey").alias("base"),
+        .join(customers, orders.o_custkey == customers.c_custkey)
+        .join(suppliers, items.l_suppkey == suppliers.s_suppkey)
     )
+    return joined.selectExpr(
+        "*",
+        f"{START} AS start",
+        f"{LENGTH} AS length",
+        "CAST(floor(l_extendedprice / 1000) AS double) AS whole",
+    ).selectExpr(*(f"{text} AS {name}" for name, text in FACTS.items()))
 
 
 # Raw column of each family -> neutral column, with the spellings the families publish.
@@ -137,56 +148,59 @@ RAW_COLUMNS: dict[str, dict[str, str]] = {
 PERIOD = ("family", "file_year", "file_month")
 
 
-def _with_source_total(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("source_total", F.col("fare") + F.col("tip") + F.col("tolls"))
+SOURCE_TOTAL = "fare + tip + tolls"
+
+
+def _source(name: str) -> str:
+    return SOURCE_TOTAL if name == "source_total" else name
 
 
 def family_frame(facts: DataFrame, family: str) -> DataFrame:
     """The raw frame of one family, under that family's own column names."""
-    return (
-        _with_source_total(facts)
-        .where(F.col("family") == family)
-        .select(*PERIOD, *(F.col(src).alias(raw) for raw, src in RAW_COLUMNS[family].items()))
+    return facts.where(f"family = '{family}'").selectExpr(
+        *PERIOD, *(f"{_source(src)} AS {raw}" for raw, src in RAW_COLUMNS[family].items())
     )
 
 
 def mixed_frame(facts: DataFrame) -> DataFrame:
     """All families side by side from one scan; a row fills only its own family's columns."""
-    spelled: dict[str, dict[str, tuple[str, list[str]]]] = {}
+    spelled: dict[str, tuple[str, str, list[str]]] = {}
     for family, columns in RAW_COLUMNS.items():
         for raw, src in columns.items():
-            slot = spelled.setdefault(raw.lower(), {}).setdefault(src, (raw, []))
-            slot[1].append(family)
-    columns = []
-    for sources in spelled.values():
-        (src, (raw, families)), *rest = sources.items()
-        if rest:
-            raise ValueError(f"{raw} means two things")
-        owned = F.col("family").isin(families)
-        everywhere = len(families) == len(SERVICES)
-        columns.append((F.col(src) if everywhere else F.when(owned, F.col(src))).alias(raw))
-    return _with_source_total(facts).select(*PERIOD, *columns)
+            _, known, families = spelled.setdefault(raw.lower(), (raw, src, []))
+            if known != src:
+                raise ValueError(f"{raw} means two things")
+            families.append(f"'{family}'")
+    return facts.selectExpr(
+        *PERIOD,
+        *(
+            f"{_source(src)} AS {raw}"
+            if len(families) == len(SERVICES)
+            else f"CASE WHEN family IN ({', '.join(families)}) THEN {_source(src)} END AS {raw}"
+            for raw, src, families in spelled.values()
+        ),
+    )
 
 
 def canonical_family(facts: DataFrame, family: str) -> DataFrame:
     return canonical_trips(
         family_frame(facts, family),
         service=family,
-        year=F.col("file_year"),
-        month=F.col("file_month"),
-        source_file=trip_filename(F.lit(family), F.col("file_year"), F.col("file_month")),
+        year="file_year",
+        month="file_month",
+        source_file=trip_filename("family", "file_year", "file_month"),
     )
 
 
-def silver_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical trips of all families with their quality verdict, from one scan."""
+def scored_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical trips of all families with their quality verdict, from one scan of the tables."""
     return with_quality(
         canonical_trips(
             mixed_frame(trip_facts(spark, sf_dir)),
-            service=F.col("family"),
-            year=F.col("file_year"),
-            month=F.col("file_month"),
-            source_file=trip_filename(F.col("family"), F.col("file_year"), F.col("file_month")),
+            service_column="family",
+            year="file_year",
+            month="file_month",
+            source_file=trip_filename("family", "file_year", "file_month"),
         )
     )
 
@@ -195,29 +209,74 @@ def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     regions = table(spark, sf_dir, "region")
     return canonical_zones(
-        nations.join(regions, nations.n_regionkey == regions.r_regionkey).select(
-            (F.col("n_nationkey") + 1).cast("string").alias("LocationID"),
-            F.col("r_name").alias("Borough"),
-            F.col("n_name").alias("Zone"),
-            F.col("r_name").alias("service_zone"),
+        nations.join(regions, nations.n_regionkey == regions.r_regionkey).selectExpr(
+            "CAST(n_nationkey + 1 AS string) AS LocationID",
+            "r_name AS Borough",
+            "n_name AS Zone",
+            "r_name AS service_zone",
         )
     )
 
 
+# Layers the workload has written, by (application, directory, layer).
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(
+    spark: SparkSession, sf_dir: str, layer: str, build: Callable[[], DataFrame], *keys: str
+) -> DataFrame:
+    """Write a layer to the shared folder once per session and read it back from there.
+
+    Silver and Gold are tables in a medallion lake: everything downstream prunes columns and
+    partitions of a written table instead of repeating the joins above it. The folder belongs to
+    this session, so nothing stale survives, and a lost executor loses no data.
+    """
+    slot = (spark.sparkContext.applicationId, sf_dir, layer)
+    if slot not in _WRITTEN:
+        path = scratch_path(spark, layer)
+        build().write.partitionBy(*keys).parquet(path)
+        _WRITTEN[slot] = path
+    return spark.read.parquet(_WRITTEN[slot])
+
+
+def silver_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(
+        spark, sf_dir, "silver", lambda: scored_trips(spark, sf_dir), *PARTITION_COLUMNS
+    )
+
+
 def enriched_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_trips(valid_only(silver_trips(spark, sf_dir)), zone_lookup(spark, sf_dir))
 
 
+BUILDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "daily": marts.daily_demand,
+    "hourly": marts.hourly_profile,
+    "finance": marts.service_financials,
+    "routes": marts.route_performance,
+    "tips": marts.tip_factors,
+}
+
+
+def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base mart, written once per session for the queries that build on it."""
+    return _written(
+        spark,
+        sf_dir,
+        name,
+        lambda: BUILDERS[name](enriched_trips(spark, sf_dir)),
+        "pickup_year",
+        "pickup_month",
+    )
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as audit events; ``details`` stays JSON text."""
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("event_id"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "CAST(event_id AS string) AS event_id",
         "event_type",
-        F.element_at(
-            F.array(F.lit("PASSED"), F.lit("OK"), F.lit("FAILED")),
-            (F.col("user_id") % 3 + 1).cast("int"),
-        ).alias("status"),
-        F.col("ts").cast("timestamp").alias("timestamp_utc"),
-        F.col("user_id").cast("string").alias("run_id"),
-        F.col("props").alias("details"),
+        "CASE user_id % 3 WHEN 0 THEN 'PASSED' WHEN 1 THEN 'OK' ELSE 'FAILED' END AS status",
+        "CAST(ts AS timestamp) AS timestamp_utc",
+        "CAST(user_id AS string) AS run_id",
+        "props AS details",
     )
