@@ -37,7 +37,7 @@ def tidy(value: Column, digits: int = 6) -> Column:
 
 
 def tidied(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({name: tidy(F.col(name), digits) for name in names})
+    return df.withColumns({name: tidy(F.col(name), digits) for name in names}) if names else df
 
 
 def tidy_sql(*names: str, digits: int = 6) -> str:

@@ -298,12 +298,10 @@ _CONTRACT_SQL = {
 
 def _register_contract(name: str) -> None:
     block, fact, body = _CONTRACT_SQL[name]
-    rounded = ("metric_value", "metric_aux")
+    rounded = ("metric_value", "metric_aux") if fact == "anomalies" else ()
+    selected = f"SELECT * REPLACE ({tidy_sql(*rounded)}) FROM ({body})" if rounded else body
 
-    @query(
-        f"contract_{name[:3].lower()}",
-        sql(f"SELECT * REPLACE ({tidy_sql(*rounded)}) FROM ({body})", block),
-    )
+    @query(f"contract_{name[:3].lower()}", sql(selected, block))
     def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tidied(build_contract(fact_rows(spark, sf_dir, fact), name), *rounded)
 

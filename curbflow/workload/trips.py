@@ -222,7 +222,7 @@ def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def _written(
+def written(
     spark: SparkSession, sf_dir: str, layer: str, build: Callable[[], DataFrame], *keys: str
 ) -> DataFrame:
     """Write a layer to the shared folder once per session and read it back from there.
@@ -234,13 +234,14 @@ def _written(
     slot = (spark.sparkContext.applicationId, sf_dir, layer)
     if slot not in _WRITTEN:
         path = scratch_path(spark, layer)
-        build().write.partitionBy(*keys).parquet(path)
+        writer = build().write
+        (writer.partitionBy(*keys) if keys else writer).parquet(path)
         _WRITTEN[slot] = path
     return spark.read.parquet(_WRITTEN[slot])
 
 
 def silver_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(
+    return written(
         spark, sf_dir, "silver", lambda: scored_trips(spark, sf_dir), *PARTITION_COLUMNS
     )
 
@@ -260,7 +261,7 @@ BUILDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base mart, written once per session for the queries that build on it."""
-    return _written(
+    return written(
         spark,
         sf_dir,
         name,
