@@ -6,7 +6,13 @@ from importlib import import_module
 
 from curbflow.workload.registry import ORACLES, QUERIES, Query
 
-MODULES = ("trip_queries", "mart_queries", "semantic_queries", "model_queries")
+MODULES = (
+    "trip_queries",
+    "mart_queries",
+    "semantic_queries",
+    "model_queries",
+    "lake_queries",
+)
 
 
 def _load() -> None:

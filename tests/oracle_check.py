@@ -96,7 +96,7 @@ def main(argv: list[str]) -> int:
                 verdict = f"rows={len(rows)}" + ("" if rows else " EMPTY")
                 problem = None if rows else "empty"
         except Exception as error:  # noqa: BLE001 - report and go on
-            problem = verdict = f"ERROR {type(error).__name__}: {str(error)[:1500]}"
+            problem = verdict = f"ERROR {type(error).__name__}: {str(error)[:6000]}"
         failures += problem is not None
         print(f"{name:28s} {time.time() - began:6.2f}s {verdict}", flush=True)
     print(f"{failures} failures")
