@@ -15,26 +15,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbflow.sources.lake import EVENT_SCHEMA
-
-# Fields promoted out of an event's details, with their types.
-PROMOTED = {
-    "filename": "string",
-    "service": "string",
-    "year": "int",
-    "month": "int",
-    "local_path": "string",
-    "size_bytes": "bigint",
-    "sha256": "string",
-    "error": "string",
-    "layer": "string",
-    "source_rows": "bigint",
-    "silver_rows": "bigint",
-    "valid_rows": "bigint",
-    "quarantine_rows": "bigint",
-    "reconciled": "boolean",
-    "model_name": "string",
-}
+from curbflow.sources.lake import EVENT_SCHEMA, PROMOTED
+
 HEAD = ("event_id", "event_type", "status", "timestamp_utc", "run_id")
 
 
@@ -102,6 +84,11 @@ def flatten_events(events: DataFrame) -> DataFrame:
     )
 
 
+def files_by(events: DataFrame, *keys: str) -> DataFrame:
+    """Distinct files per key, for instance per service or per year."""
+    return events.groupBy(*keys).agg(F.count_distinct("filename").alias("files"))
+
+
 def latest_by(events: DataFrame, *keys: str) -> DataFrame:
     """The last event of each key; equal times are settled by event id."""
     rest = [c for c in events.columns if c not in keys]

@@ -65,11 +65,12 @@ def silver_contract(df: DataFrame) -> DataFrame:
 
 
 def valid_only(silver: DataFrame) -> DataFrame:
-    return silver.filter(F.coalesce("dq_valid", F.lit(False)))
+    """A bare boolean filter: an unknown verdict is not valid, and the scan can push it down."""
+    return silver.filter("dq_valid")
 
 
 def invalid_only(silver: DataFrame) -> DataFrame:
-    return silver.filter(~F.coalesce("dq_valid", F.lit(False)))
+    return silver.filter("NOT dq_valid OR dq_valid IS NULL")
 
 
 def rule_failures(silver: DataFrame) -> DataFrame:

@@ -84,6 +84,15 @@ def _training_order(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _fit(pipeline: Pipeline, frame: DataFrame) -> PipelineModel:
+    """Fit, and drop the training summary.
+
+    A forest's summary refers to the session, which cannot be shipped to executors once anything
+    in it has used ``observe``, as writing Silver does. A copy carries the trees alone.
+    """
+    return pipeline.fit(frame).copy()
+
+
 def _split_features(panel: DataFrame, entity: str, test_days: int) -> DataFrame:
     complete = series.time_features(panel, entity=entity).dropna(subset=list(TIME_FEATURES))
     tagged = series.tag_split(complete, entity=entity, test_days=test_days)
@@ -220,10 +229,10 @@ def run_forecast(daily: DataFrame, settings: ModelSettings = ModelSettings()) ->
     panel = series.complete_panel(series.daily_service(daily), entity="service_type").persist()
     frame = _split_features(panel, "service_type", settings.forecast_test_days)
     train_rows, test_rows, cutoff = _split_summary(frame, "forecasting")
-    trial = forecast_pipeline(settings).fit(frame.where("split = 'train'"))
+    trial = _fit(forecast_pipeline(settings), frame.where("split = 'train'"))
     scored = trial.transform(frame.where("split = 'test'"))
     errors = series.forecast_errors(scored).first().asDict()
-    model = forecast_pipeline(settings).fit(frame)
+    model = _fit(forecast_pipeline(settings), frame)
     metrics = {
         **{n: finite(errors[n]) for n in ("rmse", "mae", "r2", "mape_percent", "wmape_percent")},
         "train_rows": train_rows,
@@ -299,7 +308,7 @@ def run_segmentation(source: DataFrame, settings: ModelSettings = ModelSettings(
             f"{settings.clusters} clusters need as many zones and distinct vectors: "
             f"zones={zones} vectors={vectors}"
         )
-    model = segment_pipeline(settings).fit(features)
+    model = _fit(segment_pipeline(settings), features)
     assigned = model.transform(features).persist()
     produced = assigned.agg(F.count_distinct("segment_id")).first()[0]
     if produced < 2:
@@ -406,7 +415,7 @@ def run_classification(source: DataFrame, settings: ModelSettings = ModelSetting
     if set(weights) != {0, 1}:
         raise ValueError(f"training days need both classes, found {sorted(weights)}")
     weight = F.when(F.col("label") == 1.0, weights[1]).otherwise(weights[0])
-    model = classify_pipeline(settings).fit(labelled.withColumn("class_weight", weight))
+    model = _fit(classify_pipeline(settings), labelled.withColumn("class_weight", weight))
     test = frame.where("split = 'test'").withColumn("label", label)
     scored = model.transform(test).persist()
     confusion = confusion_counts(scored)

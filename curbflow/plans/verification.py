@@ -27,6 +27,7 @@ METRIC_BOUNDS = (
     (CLASSIFY_MODEL, "train_rows", 1.0, None),
     (CLASSIFY_MODEL, "test_rows", 1.0, None),
 )
+HISTORICAL_FILES = 144  # four services, three years, twelve months
 REQUIRED_EVENTS = ("pipeline_run", "file_status", "quality_result", "model_run")
 
 
@@ -60,7 +61,9 @@ def metric_bounds(metrics: DataFrame) -> DataFrame:
 
 def verify_lake(
     *,
+    expected: DataFrame,
     missing: DataFrame,
+    foreign: DataFrame,
     integrity: DataFrame,
     zones: DataFrame,
     reconciled: DataFrame,
@@ -70,7 +73,7 @@ def verify_lake(
     exported_events: DataFrame,
     contracts: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """One report over files, zones, row balance, marts, models, audit and contracts."""
+    """One report over scope, files, zones, row balance, marts, models, audit and contracts."""
     spark = zones.sparkSession
 
     def empty(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -90,8 +93,11 @@ def verify_lake(
     placeholders = [df.where("status = 'PLACEHOLDER'").select("status") for df in contracts.values()]
     differing = integrity.where("verdict <> 'OK'")
     placeholder = reduce(DataFrame.unionByName, placeholders)
+    grid = expected.agg(F.count(F.lit(1)).alias("n")).where(f"n <> {HISTORICAL_FILES}")
     reports = (
+        check("scope", grid, "the scope does not yield the historical files"),
         check("expected_files", missing, "historical files are missing"),
+        check("foreign_files", foreign, "files with an unknown name or year"),
         check("file_integrity", differing, "files differ from their records"),
         check("zone_lookup", zones.where("borough IS NULL"), "zones without a borough"),
         check("reconciliation", reconciled.where("NOT reconciled"), "row counts do not balance"),

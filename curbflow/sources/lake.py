@@ -22,6 +22,33 @@ EVENT_SCHEMA = (
 )
 
 
+# Fields promoted out of an event's details, with their types.
+PROMOTED = {
+    "filename": "string",
+    "service": "string",
+    "year": "int",
+    "month": "int",
+    "local_path": "string",
+    "size_bytes": "bigint",
+    "sha256": "string",
+    "error": "string",
+    "layer": "string",
+    "source_rows": "bigint",
+    "silver_rows": "bigint",
+    "valid_rows": "bigint",
+    "quarantine_rows": "bigint",
+    "reconciled": "boolean",
+    "model_name": "string",
+}
+FLAT_EVENT_SCHEMA = ", ".join(
+    [
+        "event_id string, event_type string, status string, timestamp_utc timestamp, run_id string",
+        *(f"{name} {dtype}" for name, dtype in PROMOTED.items()),
+        "metrics_json string, details_json string",
+    ]
+)
+
+
 def _schema_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = []
@@ -102,3 +129,10 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     if events.isEmpty():
         raise ValueError(f"the audit log is empty: {path}")
     return events
+
+
+def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The flattened audit export, under its own schema rather than an inferred one."""
+    return spark.read.schema(FLAT_EVENT_SCHEMA).option("header", "true").option(
+        "escape", '"'
+    ).csv(path)

@@ -13,6 +13,13 @@ MART_PARTITIONS = ("pickup_year", "pickup_month")
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def rebalanced(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Gather each partition's rows before writing, so files number partitions and not
+    tasks × partitions. Adaptive execution splits a hot partition over several tasks and merges
+    small ones, so one month holding a third of all rows is still written in parallel."""
+    return df.hint("rebalance", *(F.col(key) for key in keys))
+
+
 def _overwrite_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
     (
         df.write.mode("overwrite")
@@ -63,7 +70,7 @@ def write_mart(mart: DataFrame, path: str, *, year: int | None = None, month: in
     """
     keys = tuple(k for k in MART_PARTITIONS if k in mart.columns)
     if keys:
-        _overwrite_partitions(mart, path, keys)
+        _overwrite_partitions(rebalanced(mart, keys), path, keys)
     else:
         mart.write.mode("overwrite").parquet(path)
     back = mart.sparkSession.read.parquet(path)
@@ -81,6 +88,7 @@ def write_csv(
         out.write.mode("overwrite")
         .option("header", "true")
         .option("timestampFormat", TIMESTAMP_FORMAT)
+        .option("escape", '"')
         .option("maxRecordsPerFile", 0 if single_file else rows_per_file)
         .csv(path)
     )
@@ -99,3 +107,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 def append_events(events: DataFrame, path: str) -> None:
     """Add audit events to the event table; nothing already there is touched."""
     events.write.mode("append").parquet(path)
+
+
+def export_events(flat: DataFrame, path: str) -> None:
+    """Flattened audit events as CSV and as JSON lines."""
+    write_csv(flat, f"{path}/csv")
+    flat.write.mode("overwrite").json(f"{path}/json")

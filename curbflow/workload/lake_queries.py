@@ -99,6 +99,15 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_inventory(named.unionByName(foreign)).drop("path")
 
 
+@query("file_counts", sql("""
+SELECT service, year, count(DISTINCT source_file) AS files FROM canonical GROUP BY ALL
+""", "canonical"))
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per service and year."""
+    named = silver_trips(spark, sf_dir).withColumnRenamed("source_file", "filename")
+    return log.files_by(named, "service", "year")
+
+
 @query("file_integrity")
 def file_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, magic and SHA-256 of the given tables' own files."""
@@ -439,7 +448,11 @@ def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources["audit"] = flat
     contracts = {n: build_contract(sources[spec.table], n) for n, spec in CONTRACTS.items()}
     hashed = files.file_integrity(files.list_files(spark, sf_dir, "*.parquet"))
+    in_lake = silver.groupBy("source_file").agg(F.count(F.lit(1)).alias("length"))
+    paths = in_lake.selectExpr("concat('lake:/trips/', source_file) AS path", "length")
     return verify_lake(
+        expected=catalog.expected_files(spark, SCOPE, include_current=False),
+        foreign=paths.join(files.trip_files(paths).select("path"), "path", "left_anti"),
         missing=catalog.missing_files(grid, silver, SCOPE.historical_years),
         integrity=hashed.selectExpr("CASE WHEN parquet_magic THEN 'OK' ELSE 'PARQUET_MAGIC' END AS verdict"),
         zones=zone_lookup(spark, sf_dir),

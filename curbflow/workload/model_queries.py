@@ -170,6 +170,11 @@ _register_served("segments", "page_08", "D08_Segmentacion")
 _register_served("classification", "page_09", "D09_Clasificacion")
 
 
+@query("star_profiles")
+def star_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _star(spark, sf_dir, "profiles").drop("generated_at_utc")
+
+
 @query("dim_cluster")
 def dim_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.cluster_dimension(result(spark, sf_dir, "segments"))

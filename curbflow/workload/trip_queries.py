@@ -20,7 +20,7 @@ from curbflow.operators.quality import (
     valid_only,
     with_quality,
 )
-from curbflow.operators.reconcile import reconcile_counts
+from curbflow.operators.reconcile import reconcile_counts, reconcile_total
 from curbflow.operators.zones import enrich_trips
 from curbflow.schema import TRIP_TARGETS
 from curbflow.settings import SERVICES
@@ -354,6 +354,16 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_counts(source, silver, invalid_only(silver))
 
 
+@query("reconciliation_total", sql("""
+SELECT count(DISTINCT (service, year, month)) AS files_processed, count(*) AS source_rows, count(*) AS silver_rows,
+  count(*) FILTER (WHERE dq_valid) AS valid_rows, count(*) FILTER (WHERE NOT dq_valid) AS quarantine_rows,
+  true AS reconciled
+FROM silver
+""", "silver"))
+def reconciliation_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_total(reconciliation(spark, sf_dir))
+
+
 _EVENT_DATES = """
 SELECT event_id, CAST(ts AS DATE) AS d FROM events
 """

@@ -18,6 +18,7 @@ from curbflow.operators.zones import canonical_zones, enrich_trips
 from curbflow.schema import PARTITION_COLUMNS
 from curbflow.session import scratch_path
 from curbflow.settings import SERVICES
+from curbflow.sources.sinks import rebalanced
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -234,8 +235,11 @@ def written(
     slot = (spark.sparkContext.applicationId, sf_dir, layer)
     if slot not in _WRITTEN:
         path = scratch_path(spark, layer)
-        writer = build().write
-        (writer.partitionBy(*keys) if keys else writer).parquet(path)
+        layer_rows = build()
+        if keys:
+            rebalanced(layer_rows, keys).write.partitionBy(*keys).parquet(path)
+        else:
+            layer_rows.write.parquet(path)
         _WRITTEN[slot] = path
     return spark.read.parquet(_WRITTEN[slot])
 

@@ -10,8 +10,8 @@ from curbflow.operators import audit as log
 from curbflow.functions.text import file_id, normalise_text
 from curbflow.settings import SourceScope
 from curbflow.sources import catalog, files, links
-from curbflow.sources.lake import read_audit_log
-from curbflow.sources.sinks import append_events
+from curbflow.sources.lake import read_audit_csv, read_audit_log
+from curbflow.sources.sinks import append_events, export_events
 
 
 def test_grid_and_the_one_missing_file(spark):
@@ -154,3 +154,15 @@ def test_text_helpers(spark):
     ).first()
     assert row.t == "angel nandu o"
     assert row.u == hashlib.sha256(b"http://x/y").hexdigest() and row.f == hashlib.sha256(b"n").hexdigest()
+
+
+def test_export_survives_quotes_and_is_read_under_a_schema(spark, tmp_path):
+    details = {"error": 'said "no", twice', "size_bytes": 7, "source": {"filename": "f"}}
+    flat = log.flatten_events(log.events_frame(spark, [log.event("file_status", "FAILED", details=details)]))
+    export_events(flat, str(tmp_path / "export"))
+    back = read_audit_csv(spark, str(tmp_path / "export" / "csv"))
+    assert back.columns == flat.columns
+    row = back.first()
+    assert (row.error, row.size_bytes, row.filename) == ('said "no", twice', 7, "f")
+    assert json.loads(row.details_json) == details
+    assert log.files_by(back, "event_type").first().files == 1

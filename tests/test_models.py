@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from samples import DAILY_SCHEMA, ZONE_SERIES_SCHEMA, daily_series, zone_series
@@ -52,8 +53,6 @@ def test_carried_state_equals_recomputing_every_window(spark, forecast):
         )
         ahead["trip_date"] = ahead["trip_date"].map(lambda d: d.fromordinal(d.toordinal() + 1))
         ahead["trip_count"] = float("nan")
-        import pandas as pd
-
         frame = spark.createDataFrame(
             pd.concat([history, ahead])[["service_type", "trip_date", "trip_count"]],
             "service_type string, trip_date date, trip_count double",
@@ -130,3 +129,26 @@ def test_metric_rows_and_bounds(spark):
     assert rows == {"k": (4.0, None), "ok": (1.0, "true"), "silhouette": (0.0, None), "cut": (None, None), "tag": (None, "x")}
     bad = {(r.model_name, r.metric_name) for r in metric_bounds(frame).where("NOT in_range").collect()}
     assert ("kmeans_zones", "zones") in bad and ("kmeans_zones", "k") not in bad
+
+
+def test_models_and_contracts_are_published(spark, zones, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from curbflow.operators.audit import event, events_frame, flatten_events
+    from curbflow.plans.contracts import CONTRACTS
+    from curbflow.plans.pipeline import LakePaths, build_models, publish_contracts
+
+    lake = LakePaths(str(tmp_path / "lake"))
+    daily = zones.selectExpr("*", "2023 AS pickup_year", "month(pickup_date) AS pickup_month")
+    for name in ("daily", "hourly", "finance", "routes", "tips", "anomalies"):
+        daily.limit(50).write.parquet(lake.mart(name)) if name != "daily" else daily.write.parquet(lake.mart(name))
+    runs_by_kind = build_models(spark, lake, SETTINGS)
+    assert set(runs_by_kind) == {"forecast", "segmentation", "classification"}
+    metrics = spark.read.parquet(lake.layer("results", "model_metrics", "parquet"))
+    assert metrics.select("model_name").distinct().count() == 3
+    assert metric_bounds(metrics).where("NOT in_range").count() == 0
+    assert len(PipelineModel.load(lake.layer("models", "forecast")).stages) == 4
+    audit = flatten_events(events_frame(spark, [event("pipeline_run", "SUCCEEDED")]))
+    written = publish_contracts(spark, lake, audit)
+    assert set(written) == set(CONTRACTS)
+    assert spark.read.option("header", "true").csv(written["D07_Pronostico"]).count() == 60
