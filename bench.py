@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from curbflow.session import build_session  # noqa: E402
 from curbflow.workload import all_queries  # noqa: E402
-from curbflow.workload.trips import mart, silver_trips  # noqa: E402
+from curbflow.workload.trips import drop_layers, mart, silver_trips  # noqa: E402
 
 HEADLINE = (
     "silver_union",
@@ -83,6 +83,7 @@ def main() -> None:
             .mode("overwrite")
             .save(),
         )
+    drop_layers(spark)
     spark.stop()
     print(
         json.dumps(

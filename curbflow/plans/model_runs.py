@@ -370,8 +370,8 @@ def confusion_counts(scored: DataFrame) -> DataFrame:
         F.col("label").cast("int").alias("actual_label"),
         F.col("prediction").cast("int").alias("predicted_label"),
     )
-    grid = scored.sparkSession.createDataFrame(
-        [(a, p) for a in (0, 1) for p in (0, 1)], "actual_label int, predicted_label int"
+    grid = scored.sparkSession.sql(
+        "SELECT * FROM VALUES (0, 0), (0, 1), (1, 0), (1, 1) AS grid(actual_label, predicted_label)"
     )
     counted = pairs.groupBy("actual_label", "predicted_label").agg(F.count(F.lit(1)).alias("count"))
     return grid.join(counted, ["actual_label", "predicted_label"], "left").fillna(0, ["count"])

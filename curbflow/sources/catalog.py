@@ -29,9 +29,13 @@ def expected_files(
 def missing_files(
     expected: DataFrame, observed: DataFrame, historical_years: tuple[int, ...]
 ) -> DataFrame:
-    """Historical files with no available counterpart; the current year may be partial."""
+    """Historical files with no available counterpart; the current year may be partial.
+
+    ``observed`` may be a whole trip table: it is reduced map-side to its periods first.
+    """
+    keys = list(PARTITION_COLUMNS)
     needed = expected.where(F.col("year").isin(list(historical_years)))
-    return needed.join(observed.select(*PARTITION_COLUMNS), list(PARTITION_COLUMNS), "left_anti")
+    return needed.join(observed.select(*keys).distinct(), keys, "left_anti")
 
 
 def completeness(

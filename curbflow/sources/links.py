@@ -90,4 +90,5 @@ def published_only(catalog: DataFrame, links: DataFrame, historical_years: list[
     """Catalog entries that count: historical ones always, current ones only when linked."""
     historical = catalog.where(F.col("year").isin(historical_years))
     current = catalog.where(~F.col("year").isin(historical_years))
-    return historical.unionByName(current.join(links.select("filename"), "filename", "left_semi"))
+    linked = links.select("filename").distinct()
+    return historical.unionByName(current.join(linked, "filename", "left_semi"))

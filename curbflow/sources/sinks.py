@@ -42,7 +42,8 @@ def write_silver(trips: DataFrame, path: str) -> dict[str, int]:
     return {name: int(value or 0) for name, value in seen.get.items()}
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a folder through the Hadoop file system it lives on; false when it was not there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -59,7 +60,7 @@ def write_quarantine(silver: DataFrame, path: str) -> int:
     removed = 0
     for row in months.where("bad = 0").collect():
         folder = f"{path.rstrip('/')}/service={row.service}/year={row.year}/month={row.month}"
-        removed += bool(_delete(spark, folder))
+        removed += bool(delete_path(spark, folder))
     return removed
 
 

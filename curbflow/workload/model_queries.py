@@ -195,7 +195,11 @@ def measures_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_by(result(spark, sf_dir, "classification"), "classification", ("zone_name",))
 
 
-@query("measures_confusion")
+@query("measures_confusion", sql("""
+SELECT CAST(trip_count >= t AS INTEGER) AS actual_label, count(*) AS cases
+FROM zone_split, (SELECT quantile_disc(trip_count, 0.75) AS t FROM zone_split WHERE split = 'train' AND trip_count > 0)
+WHERE split = 'test' GROUP BY 1
+""", "zone_split"))
 def measures_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_by(result(spark, sf_dir, "confusion"), "confusion", ("actual_label",))
 

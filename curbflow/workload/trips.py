@@ -18,7 +18,7 @@ from curbflow.operators.zones import canonical_zones, enrich_trips
 from curbflow.schema import PARTITION_COLUMNS
 from curbflow.session import scratch_path
 from curbflow.settings import SERVICES
-from curbflow.sources.sinks import rebalanced
+from curbflow.sources.sinks import delete_path, rebalanced
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -244,6 +244,12 @@ def written(
     return spark.read.parquet(_WRITTEN[slot])
 
 
+def drop_layers(spark: SparkSession) -> int:
+    """Remove the layers this session has written; the next query would write them again."""
+    own = [slot for slot in _WRITTEN if slot[0] == spark.sparkContext.applicationId]
+    return sum(delete_path(spark, _WRITTEN.pop(slot)) for slot in own)
+
+
 def silver_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(
         spark, sf_dir, "silver", lambda: scored_trips(spark, sf_dir), *PARTITION_COLUMNS

@@ -69,6 +69,7 @@ def compare(df, con, text: str) -> str | None:
 
 def main(argv: list[str]) -> int:
     from curbflow.session import build_session
+    from curbflow.workload.trips import drop_layers
 
     import __spark_entry__ as entry
 
@@ -96,9 +97,10 @@ def main(argv: list[str]) -> int:
                 verdict = f"rows={len(rows)}" + ("" if rows else " EMPTY")
                 problem = None if rows else "empty"
         except Exception as error:  # noqa: BLE001 - report and go on
-            problem = verdict = f"ERROR {type(error).__name__}: {str(error)[:6000]}"
+            problem = verdict = f"ERROR {type(error).__name__}: {str(error)[:3000]}"
         failures += problem is not None
         print(f"{name:28s} {time.time() - began:6.2f}s {verdict}", flush=True)
+    drop_layers(spark)
     print(f"{failures} failures")
     return 1 if failures else 0
 
