@@ -43,7 +43,7 @@ METRICS_SCHEMA = (
     "metric_text string, generated_at_utc timestamp NOT NULL"
 )
 HISTORY = max(LAGS)
-STEPS_PER_CHECKPOINT = 5
+STEPS_PER_CHECKPOINT = 10
 
 
 @dataclass
@@ -188,15 +188,16 @@ def recursive_forecast(
     short = state.where(F.size("history") < HISTORY).count()
     if short:
         raise ValueError(f"{short} series have fewer than {HISTORY} days of history")
-    carried = ("service_type", "first_date", "last_date", "history", "path")
-    state = state.withColumn("path", F.array().cast("array<double>"))
+    # The series is encoded once; a step only assembles features and predicts.
+    encode, predict = PipelineModel(model.stages[:2]), PipelineModel(model.stages[2:])
+    fixed = ("service_type", "first_date", "last_date", "entity_vector")
+    carried = (*fixed, "history", "path")
+    state = encode.transform(state).withColumn("path", F.array().cast("array<double>"))
     for step in range(1, horizon_days + 1):
-        scored = model.transform(state.selectExpr(*carried, *_state_features(step)))
+        scored = predict.transform(state.selectExpr(*carried, *_state_features(step)))
         floored = scored.selectExpr(*carried, "greatest(0D, prediction) AS next")
         state = floored.selectExpr(
-            "service_type",
-            "first_date",
-            "last_date",
+            *fixed,
             f"slice(concat(history, array(next)), 2, {HISTORY}) AS history",
             "concat(path, array(next)) AS path",
         )

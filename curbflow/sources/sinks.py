@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.java_gateway import JavaObject
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,20 @@ def write_silver(trips: DataFrame, path: str) -> dict[str, int]:
     return {name: int(value or 0) for name, value in seen.get.items()}
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a folder through the Hadoop file system it lives on; false when it was not there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    filesystem, target = _hadoop(spark, path)
+    return filesystem.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    filesystem, target = _hadoop(spark, path)
+    return filesystem.exists(target)
 
 
 def write_quarantine(silver: DataFrame, path: str) -> int:

@@ -7,6 +7,7 @@ whole and quarter fractions, so sums of doubles are exact in any order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,7 @@ from curbflow.operators.zones import canonical_zones, enrich_trips
 from curbflow.schema import PARTITION_COLUMNS
 from curbflow.session import scratch_path
 from curbflow.settings import SERVICES
-from curbflow.sources.sinks import delete_path, rebalanced
+from curbflow.sources.sinks import delete_path, path_exists, rebalanced
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -221,6 +222,7 @@ def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Layers the workload has written, by (application, directory, layer).
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITING = RLock()  # building one layer may read another
 
 
 def written(
@@ -233,14 +235,15 @@ def written(
     this session, so nothing stale survives, and a lost executor loses no data.
     """
     slot = (spark.sparkContext.applicationId, sf_dir, layer)
-    if slot not in _WRITTEN:
-        path = scratch_path(spark, layer)
-        layer_rows = build()
-        if keys:
-            rebalanced(layer_rows, keys).write.partitionBy(*keys).parquet(path)
-        else:
-            layer_rows.write.parquet(path)
-        _WRITTEN[slot] = path
+    with _WRITING:
+        if slot not in _WRITTEN or not path_exists(spark, f"{_WRITTEN[slot]}/_SUCCESS"):
+            path = scratch_path(spark, layer)
+            layer_rows = build()
+            if keys:
+                rebalanced(layer_rows, keys).write.partitionBy(*keys).parquet(path)
+            else:
+                layer_rows.write.parquet(path)
+            _WRITTEN[slot] = path
     return spark.read.parquet(_WRITTEN[slot])
 
 
