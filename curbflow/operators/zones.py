@@ -36,7 +36,7 @@ def canonical_zones(raw: DataFrame) -> DataFrame:
 def attach_zone(trips: DataFrame, zones: DataFrame, role: str) -> DataFrame:
     """Left join in one role (``pickup`` or ``dropoff``); unmatched trips read ``Unknown``.
 
-    No broadcast hint: Catalyst and adaptive execution broadcast the lookup while its measured
+    Read the lookup from a file or table, so that its size is known. No broadcast hint: Catalyst and adaptive execution broadcast the lookup while its measured
     size is below the session's threshold and fall back to a skew-aware sort-merge join above it.
     """
     key = f"_{role}_zone_key"
