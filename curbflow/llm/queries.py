@@ -104,3 +104,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curbflow.llm.host_rules import host_rules
 
     return host_rules(table(spark, sf_dir, "documents")).drop("source", "host_rate")
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.token_files import find_documents, key_occurrences, read_digests, write_token_files
+    from curbflow.session import scratch_path
+
+    docs = table(spark, sf_dir, "documents")
+    files = write_token_files(docs, scratch_path(spark, "token-files"))
+    found = find_documents(files, key_occurrences(docs))
+    return read_digests(files, found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op10_piece_codec")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.piece_codec import decode_pieces, encode_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode_pieces(encode_pieces(docs)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
