@@ -128,3 +128,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20
+"""
+
+
+@query("op1_va_search", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.va_search import exact_top_k, scaled, usable
+
+    rows = table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
+    return exact_top_k(rows.select("vec_id", scaled(F.col("embedding"), 64).alias("v")), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_reply_trees")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.reply_trees import chain_of_turns, conversation_digests, format_branches
+
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return conversation_digests(format_branches(chain_of_turns(rows))).withColumnRenamed("conversation", "conv_id")
