@@ -163,3 +163,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return conversation_digests(format_branches(chain_of_turns(rows))).withColumnRenamed("conversation", "conv_id")
+
+
+@query("op4_quality_mil")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.quality_mil import in_fold, score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, table(spark, sf_dir, "labels").filter(~in_fold("doc_id", 1)))
+    return score_quality(docs, model).select(
+        "doc_id", in_fold("doc_id", 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
