@@ -174,3 +174,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select(
         "doc_id", in_fold("doc_id", 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.common import word_array
+    from curbflow.llm.substring_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.array_join(word_array(F.col("text")), " ")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
