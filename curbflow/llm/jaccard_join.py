@@ -380,20 +380,9 @@ def link_components(rows: DataFrame, text: str, found: DataFrame) -> DataFrame:
         leaders *= 4
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``n_shingles`` and ``component_id``, the least key that links lead to.
-
-    Words are those between white space, A-Z in lower case; a set has the distinct sequences of
-    SHINGLE words, or the whole sequence where there are fewer words. Two rows link when their sets'
-    Jaccard similarity is at least LINK_PERCENT hundredths. Null, empty and blank texts have empty
-    sets and link with nothing: their component is their own key. Rows with equal sets are one class
-    and are compared once, whatever their number. Null keys are never the least where another is;
-    a component of null keys alone has a null id. Repeated keys are separate rows. Input columns
-    named like the two new ones are replaced; an empty table stays empty.
-
-    Shingles are told apart by 64-bit hashes.
-    """
-    source = df.drop("n_shingles", "component_id")
+def _grouped(source: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as written once, and (rid, key, n, component) of each; a component is named by the
+    least row number of its sets, and of a row without shingles by its own."""
     rows = written(
         source.withColumns({"_rid": F.monotonically_increasing_id(), "_key": F.col(key).cast("long")}), "jaccard-rows"
     )
@@ -401,9 +390,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     digests = _digests(narrow, text)
     sets = digests.filter("kind = 0").drop("kind", "counts")
     by_set = ["n", "s1", "s2"]
-    classes = written(
-        sets.filter("n > 0").groupBy(*by_set).agg(F.min("rid").alias("rep"), F.min("key").alias("least")), "jaccard-classes"
-    )
+    classes = written(sets.filter("n > 0").groupBy(*by_set).agg(F.min("rid").alias("rep")), "jaccard-classes")
     # Sets of one to three shingles link with equal sets alone.
     chosen = _by_block(classes.filter("n > 3").select(F.col("rep").alias("rid")), "rid", "jaccard-chosen")
     common = _common_bits(digests)
@@ -414,11 +401,54 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             break
         seed += 1  # another cut into chunks, for all
     nodes = link_components(narrow, text, found)
-    placed = written(_with_components(classes, "rep", nodes, "component"), "jaccard-placed")
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select(*by_set, "component_id")
-    of_row = sets.join(named, by_set, "left").select(
-        F.col("rid").alias("_rid"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
+    named = _with_components(classes, "rep", nodes, "component").select(*by_set, "component")
+    members = sets.join(named, by_set, "left").select(
+        "rid", "key", "n", F.coalesce("component", "rid").alias("component")
     )
-    return rows.join(of_row, "_rid").select(*source.columns, "n_shingles", "component_id")
+    return rows, written(members, "jaccard-members")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with ``n_shingles`` and ``component_id``, the least key that links lead to.
+
+    Words are those between white space, A-Z in lower case; a set has the distinct sequences of
+    SHINGLE words, or the whole sequence where there are fewer words. Two rows link when their sets'
+    Jaccard similarity is at least LINK_PERCENT hundredths. Null, empty and blank texts have empty
+    sets and link with nothing: their component is their own key. Rows with equal sets are one class
+    and are compared once, whatever their number. Null keys are never the least where another is;
+    a component of null keys alone has a null id. Repeated keys are separate rows. Input columns
+    named like the two new ones are replaced; an empty table stays empty.
+
+    Shingles are told apart by 64-bit hashes.
+    """
+    source = df.drop("n_shingles", "component_id")
+    rows, members = _grouped(source, key, text)
+    least = members.groupBy("component").agg(F.min("key").alias("component_id"))
+    found = members.join(least, "component").select(F.col("rid").alias("_rid"), F.col("n").alias("n_shingles"), "component_id")
+    return rows.join(found, "_rid").select(*source.columns, "n_shingles", "component_id")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each component: the one with the least key, null keys last, and of
+    equal keys the first. Rows without shingles all stay. Texts are not shuffled: the rows to drop
+    are listed by block, and each task leaves out those of its own blocks."""
+    rows, members = _grouped(df, key, text)
+    order = F.struct(F.col("key").isNull().alias("no_key"), "key", "rid")
+    first = members.groupBy("component").agg(F.min(order).alias("_first"))
+    surplus = members.join(first, "component").filter("rid <> _first.rid").select("rid")
+    dropped = _by_block(surplus, "rid", "jaccard-dropped")
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, gone = None, np.zeros(0, np.int64)
+        for batch in batches:
+            rids = batch.column("_rid").to_numpy(zero_copy_only=False)
+            keep = np.ones(len(rids), bool)
+            for block in np.unique(rids >> 33).tolist():
+                if block != current:
+                    current, stored = block, _of_block(dropped, block)
+                    gone = stored["rid"].to_numpy() if stored is not None else np.zeros(0, np.int64)
+                keep &= ~np.isin(rids, gone)
+            yield batch.filter(pa.array(keep)).select(names)
+
+    return rows.mapInArrow(run, df.schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -91,13 +92,12 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     jumps = written(jumps, "reply-jumps")
     roots = links.join(jumps, F.col("node") == F.col("at"), "left_anti").select(F.col("node").alias("root"))
     leaves = links.join(jumps.select(F.col("up").alias("node")), "node", "left_anti")
-    steps = [leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))]
+    own = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+    steps = [written(own, "reply-leaves")]
     nodes_in_all = links.count()
     reach = 1
     while reach <= max(nodes_in_all, 1):
-        known = steps[0]
-        for step in steps[1:]:
-            known = known.unionByName(step)
+        known = reduce(DataFrame.unionByName, steps)
         further = written(
             known.join(jumps, F.col("node") == F.col("at")).select(
                 "leaf", F.col("up").alias("node"), (F.col("distance") + reach).alias("distance")
@@ -112,9 +112,7 @@ def root_paths(nodes: DataFrame) -> DataFrame:
             jumps.join(twice, F.col("up") == F.col("_middle")).select("at", F.col("_top").alias("up")), "reply-jumps"
         )
         reach *= 2
-    paths = steps[0]
-    for step in steps[1:]:
-        paths = paths.unionByName(step)
+    paths = reduce(DataFrame.unionByName, steps)
     rooted = paths.join(roots, F.col("node") == F.col("root"), "left_semi").select("leaf")
     return paths.join(rooted, "leaf", "left_semi")
 

@@ -104,6 +104,7 @@ def mix_sources(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    row: str | None = None,
 ) -> Mix:
     """Fill a schedule of blocks so that every prefix of it holds the sources in their target shares.
 
@@ -117,13 +118,15 @@ def mix_sources(
     A null text or one without words has size 0 and is never taken. A null source is a source of
     its own and weighs in last. Repeated rows and repeated or null keys are separate documents. A
     hot source is split by hash ranges, its slots by ranges of the schedule. Empty tables give
-    empty frames. Only the three named columns are read, so others may have any name.
+    empty frames. Only the named columns are read, so others may have any name. ``row`` names a
+    unique long column that the results carry as ``_row``, to find the input rows again.
     """
     spark = df.sparkSession
     sized = written(
-        df.select(F.col(key).alias("_key"), F.col(source).alias("_name"), F.size(word_array(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("_content"))
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_hash", F.xxhash64(F.lit(seed), "_key", "_content").bitwiseAND(F.lit((1 << 63) - 1))),
+        df.select(F.col(key).alias("_key"), F.col(source).alias("_name"), F.size(word_array(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("_content"), (F.col(row) if row else F.lit(None)).cast("long").alias("_given"))
+        .withColumn("_row", F.col("_given") if row else F.monotonically_increasing_id())
+        .withColumn("_hash", F.xxhash64(F.lit(seed), "_key", "_content").bitwiseAND(F.lit((1 << 63) - 1)))
+        .drop("_given"),
         "mix-sizes",
     )
     # One row per source, read several times.
@@ -191,3 +194,18 @@ def mix_sources(
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
     )
     return Mix(documents, parts)
+
+
+def mixed_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``df`` as the mix takes it: each row as often as the schedule passes over at least half of its
+    words. Rows without words do not appear."""
+    rows = written(df.withColumn("_at", F.monotonically_increasing_id()), "mix-rows")
+    chosen = mix_sources(rows, key=key, source=source, text=text, row="_at").documents
+    copies = chosen.filter("taken > 0").select(
+        F.col("_row").alias("_at"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")
+    )
+    return (
+        rows.join(copies.filter("_copies > 0"), "_at")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select(*df.columns)
+    )
