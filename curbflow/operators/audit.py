@@ -6,13 +6,14 @@ of a key stays one row per event, so a key that owns a third of all events is ju
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbflow.sources.lake import EVENT_SCHEMA, PROMOTED
@@ -52,6 +53,32 @@ def run_finished(run_id: str, *, error: str | None = None, **metrics: Any) -> tu
     )
 
 
+def file_status(
+    run_id: str,
+    file: Mapping[str, Any],
+    status: str,
+    *,
+    path: str | None = None,
+    size_bytes: int | None = None,
+    sha256: str | None = None,
+    error: str | None = None,
+) -> tuple:
+    """One status of one file; what is known of its origin stays under ``source``."""
+    url = str(file.get("url", ""))
+    name = str(file.get("filename") or url.rsplit("/", 1)[-1])
+    details = {
+        "file_id": hashlib.sha256((url or name).encode()).hexdigest(),
+        "url": url,
+        "filename": name,
+        "local_path": path,
+        "size_bytes": size_bytes,
+        "sha256": sha256,
+        "error": error,
+        "source": dict(file),
+    }
+    return event("file_status", status, run_id=run_id, details=details)
+
+
 def quality_result(run_id: str, layer: str, status: str, **details: Any) -> tuple:
     return event("quality_result", status, run_id=run_id, details={"layer": layer, **details})
 
@@ -66,21 +93,27 @@ def events_frame(spark: SparkSession, events: Iterable[tuple]) -> DataFrame:
 
 
 def flatten_events(events: DataFrame) -> DataFrame:
-    """22 columns per event; a promoted field is the detail's own, else its source's.
+    """22 columns per event; a promoted field is the detail's own, null or not, and its source's
+    only where the detail has no such key. Both JSON columns have their keys sorted.
 
-    The JSON is parsed once into a struct instead of once per field.
+    Details that are no object count as an empty one.
     """
-    inner = ", ".join(f"{name}: string" for name in PROMOTED)
-    parsed = events.selectExpr(
+    parsed = events.select(
         *HEAD,
-        "details AS details_json",
-        f"from_json(details, 'struct<{inner}, metrics: string, source: struct<{inner}>>') AS d",
-    )
+        F.try_parse_json("details").alias("v"),
+        F.from_json("details", "map<string,string>").alias("own"),
+    ).withColumn("source", F.from_json(F.try_element_at("own", F.lit("source")), "map<string,string>"))
+    own = "map_contains_key(own, '%s')"
     return parsed.selectExpr(
         *HEAD,
-        *(f"try_cast(coalesce(d.{n}, d.source.{n}) AS {t}) AS {n}" for n, t in PROMOTED.items()),
-        "coalesce(d.metrics, '{}') AS metrics_json",
-        "coalesce(details_json, '{}') AS details_json",
+        *(
+            f"try_cast(CASE WHEN {own % n} THEN try_element_at(own, '{n}') "
+            f"ELSE try_element_at(source, '{n}') END AS {t}) AS {n}"
+            for n, t in PROMOTED.items()
+        ),
+        f"CASE WHEN {own % 'metrics'} THEN "
+        "coalesce(to_json(variant_get(v, '$.metrics', 'variant')), 'null') ELSE '{}' END AS metrics_json",
+        "CASE WHEN own IS NOT NULL THEN to_json(v) ELSE '{}' END AS details_json",
     )
 
 
@@ -90,27 +123,25 @@ def files_by(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def latest_by(events: DataFrame, *keys: str) -> DataFrame:
-    """The last event of each key; equal times are settled by event id."""
+    """The last event of each key; equal times are settled by event id.
+
+    The rank is limited to one before the shuffle as well, so a key with very many events sends one
+    row a task.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.desc("timestamp_utc"), F.desc("event_id"))
     rest = [c for c in events.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("timestamp_utc", "event_id"))
-    return events.groupBy(*keys).agg(newest.alias("e")).select(*keys, "e.*")
+    return events.withColumn("_place", F.row_number().over(newest)).where("_place = 1").select(*keys, *rest)
 
 
 def current_state(events: DataFrame, key: str) -> DataFrame:
     """Latest status of each key with its first and last time and how often it was seen."""
-    newest = F.max_by(
-        F.struct("status", "run_id", "details"), F.struct("timestamp_utc", "event_id")
-    )
-    return (
-        events.groupBy(key)
-        .agg(
-            newest.alias("e"),
-            F.min("timestamp_utc").alias("created_at_utc"),
-            F.max("timestamp_utc").alias("updated_at_utc"),
-            F.count(F.lit(1)).alias("changes"),
-        )
-        .select(key, "e.*", "created_at_utc", "updated_at_utc", "changes")
+    span = events.groupBy(key).agg(
+        F.min("timestamp_utc").alias("created_at_utc"),
+        F.max("timestamp_utc").alias("updated_at_utc"),
+        F.count(F.lit(1)).alias("changes"),
     )
+    state = latest_by(events, key).select(key, "status", "run_id", "details")
+    return state.join(span, state[key].eqNullSafe(span[key])).drop(span[key])
 
 
 def status_history(events: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,16 @@ TRIP_NAMES = (
     "trips_total",
     "pickup_count",
 )
+# Zone inputs are resolved in an order of their own.
+ZONE_DATE_NAMES = ("trip_date", "pickup_date", "date", "day", "service_date")
+ZONE_TRIP_NAMES = (
+    "trip_count",
+    "total_trips",
+    "trips",
+    "ride_count",
+    "pickup_count",
+    "trips_total",
+)
 ZONE_NAMES = ("zone_id", "location_id", "pickup_zone_id", "pickup_location_id", "pulocationid")
 ZONE_LABEL_NAMES = ("zone_name", "zone", "pickup_zone", "location_name")
 
@@ -66,27 +77,30 @@ def daily_service(source: DataFrame) -> DataFrame:
     )
 
 
+def largest_texts(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """One row per key with the largest spelling of each text, taken over the distinct rows only."""
+    apart = rows.select(key, *names).distinct()
+    same = Window.partitionBy(key)
+    return apart.select(key, *(F.max(n).over(same).alias(n) for n in names)).distinct()
+
+
 def zone_daily(source: DataFrame) -> DataFrame:
-    """Trips per date and zone over all services; the zone's name is its largest spelling."""
+    """Trips per date and zone over all services; the zone's name is its largest spelling.
+
+    Numbers are summed by hash; names are settled per zone and joined, as text in the aggregate
+    would make Spark sort all rows first.
+    """
     label = optional_column(source, ZONE_LABEL_NAMES)
     named = source.select(
-        F.to_date(quoted(require_column(source, DATE_NAMES, "date"))).alias("trip_date"),
+        F.to_date(quoted(require_column(source, ZONE_DATE_NAMES, "date"))).alias("trip_date"),
         quoted(require_column(source, ZONE_NAMES, "zone")).cast("string").alias("zone_id"),
-        quoted(require_column(source, TRIP_NAMES, "trips")).cast("double").alias("trip_count"),
+        quoted(require_column(source, ZONE_TRIP_NAMES, "trips")).cast("double").alias("trip_count"),
         *([quoted(label).cast("string").alias("zone_name")] if label else []),
+    ).where(
+        F.col("trip_date").isNotNull() & F.col("zone_id").isNotNull() & (F.col("trip_count") >= 0)
     )
-    return (
-        named.where(
-            F.col("trip_date").isNotNull()
-            & F.col("zone_id").isNotNull()
-            & (F.col("trip_count") >= 0)
-        )
-        .groupBy("trip_date", "zone_id")
-        .agg(
-            F.sum("trip_count").alias("trip_count"),
-            *([F.max("zone_name").alias("zone_name")] if label else []),
-        )
-    )
+    days = named.groupBy("trip_date", "zone_id").agg(F.sum("trip_count").alias("trip_count"))
+    return days.join(largest_texts(named, "zone_id", ["zone_name"]), "zone_id", "left") if label else days
 
 
 def complete_panel(

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.functions.naming import optional_column, quoted, require_column
-from curbflow.operators.series import DATE_NAMES, TRIP_NAMES, ZONE_LABEL_NAMES, ZONE_NAMES
+from curbflow.operators.series import (
+    ZONE_DATE_NAMES,
+    ZONE_LABEL_NAMES,
+    ZONE_NAMES,
+    ZONE_TRIP_NAMES,
+    largest_texts,
+)
 
 # Feature names, in vector order.
 ZONE_FEATURES = (
@@ -64,10 +70,10 @@ def trip_weighted(name: str) -> Column:
 def _zone_rows(source: DataFrame) -> DataFrame:
     """Typed rows under fixed names; absent optional inputs are simply not there."""
     chosen = {name: optional_column(source, names) for name, names in OPTIONAL_INPUTS.items()}
-    date = optional_column(source, DATE_NAMES)
+    date = optional_column(source, ZONE_DATE_NAMES)
     columns = [
         quoted(require_column(source, ZONE_NAMES, "zone")).cast("string").alias("zone_id"),
-        quoted(require_column(source, TRIP_NAMES, "trips")).cast("double").alias("trips"),
+        quoted(require_column(source, ZONE_TRIP_NAMES, "trips")).cast("double").alias("trips"),
         *([F.to_date(quoted(date)).alias("date")] if date else []),
         *(
             quoted(physical).cast("string" if name in _TEXT else "double").alias(name)
@@ -85,12 +91,19 @@ def zone_day(source: DataFrame) -> DataFrame:
 
 def _consolidate(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
-    return rows.groupBy("zone_id", "date").agg(
+    days = rows.groupBy("zone_id", "date").agg(
         F.sum("trips").alias("trips"),
-        *(F.max(n).alias(n) for n in (*_TEXT, "days") if n in have),
+        *([F.max("days").alias("days")] if "days" in have else []),
         *(trip_weighted(n).alias(n) for n in _WEIGHTED if n in have),
         *([F.sum(F.coalesce("revenue", F.lit(0.0))).alias("revenue")] if "revenue" in have else []),
     )
+    return _named(days, rows)
+
+
+def _named(zones: DataFrame, rows: DataFrame) -> DataFrame:
+    """``zones`` with the texts of their zones, which numeric aggregates leave out."""
+    texts = [n for n in _TEXT if n in rows.columns]
+    return zones.join(largest_texts(rows, "zone_id", texts), "zone_id", "left") if texts else zones
 
 
 def zone_features(source: DataFrame) -> DataFrame:
@@ -115,7 +128,7 @@ def zone_features(source: DataFrame) -> DataFrame:
     def weighted(name: str) -> Column:
         return trip_weighted(name) if name in have else F.lit(0.0)
 
-    return (
+    features = (
         rows.groupBy("zone_id")
         .agg(
             F.sum("trips").alias("total_trips"),
@@ -126,7 +139,7 @@ def zone_features(source: DataFrame) -> DataFrame:
             weighted("distance").alias("avg_trip_distance"),
             weighted("duration").alias("avg_duration_minutes"),
             revenue.alias("total_revenue"),
-            *(F.max(n).alias(n) for n in _TEXT if n in have),
         )
         .fillna(0.0, subset=list(ZONE_FEATURES))
     )
+    return _named(features, rows)

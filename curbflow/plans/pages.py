@@ -95,10 +95,14 @@ def slicer_filter(page: Page, chosen: Mapping[str, Sequence[object]]) -> Column:
 
 
 def page_query(
-    star: DataFrame, page: Page, chosen: Mapping[str, Sequence[object]] | None = None
+    star: DataFrame,
+    page: Page,
+    chosen: Mapping[str, Sequence[object]] | None = None,
+    model_metrics: DataFrame | None = None,
 ) -> DataFrame:
     """Blocks of the page as (block, category, date, series, first, second), in reading order:
-    totals, categories by falling first measure, trend by rising date, series."""
+    totals, categories by falling first measure, trend by rising date, series. A page of a model
+    has a block ``model`` with the model's own figure, which no slicer changes."""
     rows = star.where(slicer_filter(page, chosen)) if chosen else star
     shaped = rows.selectExpr(
         "*",
@@ -113,14 +117,20 @@ def page_query(
         F.expr("CAST(grouping_id() AS int)").alias("set_id"),
     )
     labels = " ".join(f"WHEN {i} THEN '{name}'" for i, name in BLOCKS.items())
-    return grouped.selectExpr(
+    blocks = grouped.selectExpr(
         f"CASE set_id {labels} END AS block",
         "_category AS category",
         "_date AS date",
         "_series AS series",
         "first",
         "second",
-    ).orderBy(
+    )
+    if page.model_metric and model_metrics is not None:
+        figure = model_metrics.agg(F.expr(measure(*page.model_metric)).cast("double").alias("first"))
+        blocks = blocks.unionByName(
+            figure.select(F.lit("model").alias("block"), "first"), allowMissingColumns=True
+        )
+    return blocks.orderBy(
         "block",
         F.when(F.col("block") == "by_category", F.col("first")).desc_nulls_last(),
         "date",

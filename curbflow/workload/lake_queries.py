@@ -301,29 +301,33 @@ def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detailed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit events whose details carry own fields, source fields and metrics."""
-    k = "CAST(get_json_object(details, '$.k') AS int)"
-    return audit_events(spark, sf_dir).selectExpr(
+    """Audit events with own fields, source fields and metrics, keys in no order. A size is given,
+    given as null, or absent; only an absent one is taken from the source."""
+    k = F.from_json("details", "k int")["k"]
+    return audit_events(spark, sf_dir).withColumn("k", k).selectExpr(
         "event_id", "event_type", "status", "timestamp_utc", "run_id",
-        f"""to_json(named_struct(
-          'size_bytes', CASE WHEN {k} % 2 = 0 THEN {k} * 1000 END,
-          'source_rows', {k} * 7,
-          'layer', CASE WHEN {k} % 3 = 0 THEN 'silver' END,
-          'metrics', named_struct('k', {k}),
-          'source', named_struct('service', concat('s', run_id), 'year', 2024, 'size_bytes', {k} * 5,
-                                 'filename', concat(event_type, '.parquet')))) AS details""",
+        """concat('{"source_rows":', k * 7,
+          CASE k % 4 WHEN 1 THEN ',"size_bytes":null' WHEN 3 THEN '' ELSE concat(',"size_bytes":', k * 1000) END,
+          CASE WHEN k % 3 = 0 THEN ',"layer":"silver"' ELSE '' END,
+          ',"metrics":{"k":', k, ',"a":1},"source":{"service":"s', run_id, '","year":2024,"size_bytes":', k * 5,
+          ',"filename":"', event_type, '.parquet"}}') AS details""",
     )
 
 
-block("flat", "audit", body=f"""
+block("flat", "audit", body="""
 SELECT event_id, event_type, status, timestamp_utc, run_id, event_type || '.parquet' AS filename, 's' || run_id AS service,
-  2024 AS year, CAST(CASE WHEN k % 2 = 0 THEN k * 1000 ELSE k * 5 END AS BIGINT) AS size_bytes,
-  CASE WHEN k % 3 = 0 THEN 'silver' END AS layer, CAST(k * 7 AS BIGINT) AS source_rows, '{{"k":' || k || '}}' AS metrics_json
+  2024 AS year, CAST(CASE k % 4 WHEN 1 THEN NULL WHEN 3 THEN k * 5 ELSE k * 1000 END AS BIGINT) AS size_bytes,
+  CASE WHEN k % 3 = 0 THEN 'silver' END AS layer, CAST(k * 7 AS BIGINT) AS source_rows,
+  '{"a":1,"k":' || k || '}' AS metrics_json,
+  '{' || CASE WHEN k % 3 = 0 THEN '"layer":"silver",' ELSE '' END || '"metrics":{"a":1,"k":' || k || '},'
+    || CASE k % 4 WHEN 1 THEN '"size_bytes":null,' WHEN 3 THEN '' ELSE '"size_bytes":' || (k * 1000) || ',' END
+    || '"source":{"filename":"' || event_type || '.parquet","service":"s' || run_id || '","size_bytes":' || (k * 5)
+    || ',"year":2024},"source_rows":' || (k * 7) || '}' AS details_json
 FROM (SELECT *, CAST(json_extract(details, '$.k') AS INTEGER) AS k FROM audit)
 """)
 _FLAT = (
     "event_id", "event_type", "status", "run_id", "filename", "service", "year",
-    "size_bytes", "layer", "source_rows", "metrics_json",
+    "size_bytes", "layer", "source_rows", "metrics_json", "details_json",
 )
 
 
@@ -388,7 +392,7 @@ def file_status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 block("audit_contract", "flat", body=contract_sql(
     "flat", date="strftime(timestamp_utc, '%Y-%m-%d')", year="CAST(year(timestamp_utc) AS INTEGER)",
     month="CAST(month(timestamp_utc) AS INTEGER)", service="service", category="event_type", series="status",
-    metric_name="'Eventos de auditoría'", metric_value="1.0::DOUBLE", metric_aux="size_bytes::DOUBLE",
+    metric_name="'Eventos de auditoría'", metric_value="1.0::DOUBLE", metric_aux="coalesce(size_bytes, source_rows)::DOUBLE",
     status="status", detail="'Trazabilidad de ejecuciones, archivos, calidad y modelos'"))
 
 

@@ -158,7 +158,9 @@ def _register_served(fact: str, page: str, contract: str) -> None:
 
     @query(page)
     def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return page_query(_star(spark, sf_dir, fact), PAGES[page])
+        shown = PAGES[page]
+        model = result(spark, sf_dir, shown.model_metric[0])
+        return page_query(_star(spark, sf_dir, fact), shown, model_metrics=model)
 
     @query(contract[:3].lower().replace("d", "contract_d"))
     def served(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,43 @@ def _register_page(name: str) -> None:
 for _page in _KPI_SQL:
     _register_page(_page)
 
+# One choice per page that cuts through a dimension, as a reader of the page would make it.
+_CHOSEN = {
+    "page_01": {"service_service_name": ("Green Taxi", "Yellow Taxi"), "date_year": (2023,)},
+    "page_02": {"pickup_hour": (7, 8, 9), "service_service_name": ("High Volume FHV",)},
+    "page_03": {"payment_payment_name": ("Efectivo", "Disputa")},
+    "page_04": {"anomaly_direction": ("HIGH",), "date_year": (2023,)},
+    "page_05": {"origin_borough": ("ASIA", "EUROPE"), "destination_borough": ("AMERICA",)},
+    "page_06": {"payment_payment_name": ("Tarjeta",), "pickup_hour": (0, 12, 23)},
+}
+
+
+def _register_sliced(name: str) -> None:
+    page = PAGES[name]
+    spec = FACTS[page.fact]
+    block = _FACT_BLOCK[page.fact]
+    blocks, joins, names = [block], [], []
+    for role, link in spec.links.items():
+        dimension, key, attributes = ROLES[role]
+        blocks.append(_DIM_BLOCK[dimension])
+        joins.append(f"LEFT JOIN {_DIM_BLOCK[dimension]} {role}_d ON f.{link} = {role}_d.{key}")
+        names += [f"{role}_d.{n} AS {attribute(role, n)}" for n in attributes]
+    chosen = " AND ".join(f"{c} IN ({', '.join(map(repr, values))})" for c, values in _CHOSEN[name].items())
+    source = (
+        f"(SELECT * FROM (SELECT f.*, {', '.join(names)} FROM (SELECT *, {_MONTHLY} AS month_start FROM {block}) f "
+        f"{' '.join(joins)}) WHERE {chosen})"
+    )
+    oracle = sql(page_sql(source, *_KPI_SQL[name], page.category, page.date, page.series), *blocks)
+
+    @query(f"{name}_sliced", oracle)
+    def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = page_query(star(spark, sf_dir, page.fact), page, _CHOSEN[name])
+        return tidied(rows, "first", "second")
+
+
+for _page in _CHOSEN:
+    _register_sliced(_page)
+
 
 # --- contracts ------------------------------------------------------------------------------
 

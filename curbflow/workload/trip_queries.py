@@ -29,6 +29,7 @@ from curbflow.workload.registry import query, stamp, stamp_sql
 from curbflow.workload.trips import (
     canonical_family,
     enriched_trips,
+    family_files,
     family_frame,
     scored_trips,
     silver_trips,
@@ -81,8 +82,9 @@ SELECT service, month, source_file, count(*) AS trips, count(total_amount) AS pr
 FROM silver GROUP BY ALL
 """, "silver"))
 def silver_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four families canonicalised apart, united by name, then summarised per file."""
-    facts = trip_facts(spark, sf_dir)
+    """Four families written as their own files, canonicalised apart, united by name, then
+    summarised per file. The joins above the files run once, for all four."""
+    facts = family_files(spark, sf_dir)
     united = reduce(DataFrame.unionByName, (canonical_family(facts, f) for f in SERVICES))
     return (
         with_quality(united)
@@ -105,7 +107,7 @@ FROM canonical GROUP BY ALL
 """, "canonical"))
 def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases resolved per family by folded name; an alias nobody has becomes a typed null."""
-    facts = trip_facts(spark, sf_dir)
+    facts = family_files(spark, sf_dir)
     wanted = {
         "pickup_location_id": (("pu_location_id", "pulocationid"), "int"),
         "dropoff_location_id": (("do_location_id", "dolocationid"), "int"),

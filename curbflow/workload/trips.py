@@ -164,6 +164,11 @@ def family_frame(facts: DataFrame, family: str) -> DataFrame:
     )
 
 
+def family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trips written once, a folder a family, so that a family's frame reads its own files."""
+    return written(spark, sf_dir, "families", lambda: trip_facts(spark, sf_dir), "family")
+
+
 def mixed_frame(facts: DataFrame) -> DataFrame:
     """All families side by side from one scan; a row fills only its own family's columns."""
     spelled: dict[str, tuple[str, str, list[str]]] = {}
