@@ -276,25 +276,55 @@ def segment_pipeline(settings: ModelSettings) -> Pipeline:
 
 
 def segment_profiles(assigned: DataFrame) -> DataFrame:
-    """One row per cluster with its rank by demand, label and share of the network."""
-    profiles = assigned.groupBy("segment_id").agg(
-        F.count(F.lit(1)).alias("zone_count"),
+    """One row per cluster with its rank by demand, label and share of the network.
+
+    The clusters, never more than k, are put in one array; its order is the rank and its sum the
+    network.
+    """
+    means = [n for n in ZONE_FEATURES if n != "total_trips"]
+    sums = assigned.groupBy("segment_id").agg(
         F.sum("total_trips").alias("total_trips"),
-        *(F.avg(n).alias(f"avg_{n}") for n in ZONE_FEATURES if n != "total_trips"),
+        F.count(F.lit(1)).alias("zone_count"),
+        *(F.avg(n).alias(f"avg_{n}") for n in means),
+    )
+    member = F.struct(
+        (-F.col("total_trips")).alias("falling"),
+        F.col("segment_id").cast("int").alias("segment_id"),
+        "zone_count",
+        "total_trips",
+        *(f"avg_{n}" for n in means),
     )
-    # One window partition of k rows: the clusters, not the zones.
-    by_demand = Window.orderBy(F.desc("total_trips"), F.asc("segment_id"))
-    network = assigned.agg(F.sum("total_trips")).scalar()
-    labels = F.array(*(F.lit(label) for label in SEGMENT_LABELS))
-    rank = F.col("demand_rank")
-    return profiles.withColumn("demand_rank", F.row_number().over(by_demand)).withColumns(
-        {
-            "segment_label": F.element_at(labels, F.least(rank, F.lit(len(SEGMENT_LABELS)))),
-            "trip_share": F.when(network > 0, F.col("total_trips") / network).otherwise(0.0),
-            "model_name": F.lit(SEGMENT_MODEL),
-            "segment_id": F.col("segment_id").cast("int"),
-            "generated_at_utc": F.current_timestamp(),
-        }
+    ranked = sums.agg(F.array_sort(F.collect_list(member)).alias("clusters")).select(
+        F.aggregate("clusters", F.lit(0.0), lambda total, c: total + c["total_trips"]).alias("network"),
+        F.posexplode("clusters").alias("place", "c"),
+    )
+    labels = ", ".join(f"'{label}'" for label in SEGMENT_LABELS)
+    return ranked.selectExpr(
+        "c.segment_id",
+        "c.zone_count",
+        "c.total_trips",
+        *(f"c.avg_{n}" for n in means),
+        "place + 1 AS demand_rank",
+        f"element_at(array({labels}), least(place + 1, {len(SEGMENT_LABELS)})) AS segment_label",
+        "CASE WHEN network > 0 THEN c.total_trips / network ELSE 0D END AS trip_share",
+        f"'{SEGMENT_MODEL}' AS model_name",
+        "current_timestamp() AS generated_at_utc",
+    )
+
+
+def segment_rows(plain: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every zone with its features, cluster, label and rank, under the published names."""
+    labelled = plain.join(
+        profiles.select("segment_id", "segment_label", "demand_rank"), "segment_id", "left"
+    )
+    extra = {"zone_name": "pickup_zone", "borough": "pickup_borough"}
+    return labelled.selectExpr(
+        *(c for c in labelled.columns if c != "segment_id"),
+        "CAST(segment_id AS int) AS segment_id",
+        "try_cast(zone_id AS int) AS pickup_location_id",
+        f"'{SEGMENT_MODEL}' AS model_name",
+        "current_timestamp() AS generated_at_utc",
+        *(f"{src} AS {dst}" for src, dst in extra.items() if src in plain.columns),
     )
 
 
@@ -329,18 +359,7 @@ def run_segmentation(source: DataFrame, settings: ModelSettings = ModelSettings(
     }
     profiles = segment_profiles(assigned)
     plain = assigned.drop("raw_features", "scaled_features")
-    labelled = plain.join(
-        profiles.select("segment_id", "segment_label", "demand_rank"), "segment_id", "left"
-    )
-    extra = {"zone_name": "pickup_zone", "borough": "pickup_borough"}
-    segments = labelled.selectExpr(
-        *(c for c in labelled.columns if c != "segment_id"),
-        "CAST(segment_id AS int) AS segment_id",
-        "try_cast(zone_id AS int) AS pickup_location_id",
-        f"'{SEGMENT_MODEL}' AS model_name",
-        "current_timestamp() AS generated_at_utc",
-        *(f"{src} AS {dst}" for src, dst in extra.items() if src in plain.columns),
-    )
+    segments = segment_rows(plain, profiles)
     frames = {
         "segments": segments,
         "profiles": profiles,
@@ -397,6 +416,30 @@ def weighted_scores(cells: Sequence[Mapping[str, int]]) -> dict[str, float]:
     return {"accuracy": (count[0, 0] + count[1, 1]) / total, **scores}
 
 
+def prediction_rows(scored: DataFrame, threshold: float, daily: DataFrame) -> DataFrame:
+    """Holdout zone-days with label, prediction and probability, under the published names."""
+    predictions = scored.selectExpr(
+        "trip_date AS prediction_date",
+        "zone_id",
+        "trip_count AS actual_trips",
+        f"{threshold!r}D AS high_demand_threshold",
+        "CAST(label AS int) AS actual_high_demand",
+        "CAST(prediction AS int) AS predicted_high_demand",
+        "probability_high_demand",
+        "cutoff_date AS temporal_cutoff",
+        f"'{CLASSIFY_MODEL}' AS model_name",
+        f"'{TEST_SPLIT}' AS dataset_split",
+        "trip_date AS pickup_date",
+        "try_cast(zone_id AS int) AS pickup_location_id",
+        "label",
+        "prediction",
+        "current_timestamp() AS generated_at_utc",
+    )
+    if "zone_name" not in daily.columns:
+        return predictions
+    return predictions.join(series.largest_texts(daily, "zone_id", ["zone_name"]), "zone_id", "left")
+
+
 def run_classification(source: DataFrame, settings: ModelSettings = ModelSettings()) -> ModelRun:
     """Learn which zone-days are busy; threshold and class weights come from training days only."""
     spark = source.sparkSession
@@ -436,28 +479,9 @@ def run_classification(source: DataFrame, settings: ModelSettings = ModelSetting
         "num_trees": settings.classify_trees,
         "seed": settings.seed,
     }
-    predictions = scored.withColumn(
-        "probability_high_demand", vector_to_array("probability")[1]
-    ).selectExpr(
-        "trip_date AS prediction_date",
-        "zone_id",
-        "trip_count AS actual_trips",
-        f"{threshold!r}D AS high_demand_threshold",
-        "CAST(label AS int) AS actual_high_demand",
-        "CAST(prediction AS int) AS predicted_high_demand",
-        "probability_high_demand",
-        "cutoff_date AS temporal_cutoff",
-        f"'{CLASSIFY_MODEL}' AS model_name",
-        f"'{TEST_SPLIT}' AS dataset_split",
-        "trip_date AS pickup_date",
-        "try_cast(zone_id AS int) AS pickup_location_id",
-        "label",
-        "prediction",
-        "current_timestamp() AS generated_at_utc",
+    predictions = prediction_rows(
+        scored.withColumn("probability_high_demand", vector_to_array("probability")[1]), threshold, daily
     )
-    if "zone_name" in daily.columns:
-        names = daily.groupBy("zone_id").agg(F.max("zone_name").alias("zone_name"))
-        predictions = predictions.join(names, "zone_id", "left")
     stamped = confusion.selectExpr(
         "*", f"'{CLASSIFY_MODEL}' AS model_name", "current_timestamp() AS generated_at_utc"
     )

@@ -11,6 +11,7 @@ MODULES = (
     "mart_queries",
     "semantic_queries",
     "model_queries",
+    "stated_queries",
     "lake_queries",
 )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curbflow.plans import dimensions as dims
 from curbflow.plans.contracts import build_contract
@@ -21,17 +22,7 @@ from curbflow.workload.registry import query, tidied, tidy_sql
 from curbflow.workload.semantic_queries import dimension_frames
 from curbflow.workload.trips import mart, written
 
-# Small settings, the size a 180-day history supports.
-SETTINGS = ModelSettings(
-    seed=17,
-    forecast_test_days=21,
-    forecast_trees=5,
-    forecast_depth=3,
-    cluster_iterations=12,
-    classify_test_days=21,
-    classify_trees=12,
-    classify_depth=5,
-)
+SETTINGS = ModelSettings()
 RUNNERS = {
     "forecast": (run_forecast, ("forecast", "forecast_metrics")),
     "segmentation": (run_segmentation, ("segments", "profiles", "segment_metrics")),
@@ -115,9 +106,9 @@ def segment_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classification_actuals", sql("""
 SELECT zone_id, trip_date AS prediction_date, trip_count AS actual_trips, cutoff_date AS temporal_cutoff, t::DOUBLE AS high_demand_threshold,
   CAST(trip_count >= t AS INTEGER) AS actual_high_demand
-FROM zone_split, (SELECT quantile_disc(trip_count, 0.75) AS t FROM zone_split WHERE split = 'train' AND trip_count > 0)
+FROM model_split, (SELECT quantile_disc(trip_count, 0.75) AS t FROM model_split WHERE split = 'train' AND trip_count > 0)
 WHERE split = 'test'
-""", "zone_split"))
+""", "model_split"))
 def classification_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(spark, sf_dir, "classification").select(
         "zone_id",
@@ -199,13 +190,84 @@ def measures_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("measures_confusion", sql("""
 SELECT CAST(trip_count >= t AS INTEGER) AS actual_label, count(*) AS cases
-FROM zone_split, (SELECT quantile_disc(trip_count, 0.75) AS t FROM zone_split WHERE split = 'train' AND trip_count > 0)
+FROM model_split, (SELECT quantile_disc(trip_count, 0.75) AS t FROM model_split WHERE split = 'train' AND trip_count > 0)
 WHERE split = 'test' GROUP BY 1
-""", "zone_split"))
+""", "model_split"))
 def measures_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_by(result(spark, sf_dir, "confusion"), "confusion", ("actual_label",))
 
 
+# --- properties of the fitted models --------------------------------------------------------
+
+
+@query("forecast_bounds", sql("""
+SELECT service_type AS service, CAST(30 AS BIGINT) AS days, true AS bounds_hold FROM service_day GROUP BY 1
+""", "service_day"))
+def forecast_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bound lies 1.96 RMSE from its forecast, the lower one not below zero."""
+    rmse = F.expr("max(metric_value) FILTER (WHERE metric_name = 'rmse')")
+    error = result(spark, sf_dir, "forecast_metrics").agg(rmse.alias("rmse")).first()["rmse"]
+    margin = F.lit(1.96 * error)
+    trips = F.col("forecast_trips")
+    holds = (
+        (trips >= 0)
+        & (F.abs(F.col("forecast_upper_95") - trips - margin) < 1e-6)
+        & (F.abs(F.col("forecast_lower_95") - F.greatest(trips - margin, F.lit(0.0))) < 1e-6)
+    )
+    return (
+        result(spark, sf_dir, "forecast").groupBy("service")
+        .agg(F.count(F.lit(1)).alias("days"), F.bool_and(holds).alias("bounds_hold"))
+    )
+
+
+@query("segment_conservation", sql("""
+SELECT count(*) AS zones, sum(total_trips) AS trips, true AS profiles_agree FROM zone_vectors
+""", "zone_vectors"))
+def segment_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments keep every zone and trip, and profiles are the sums of their own members."""
+    segments = result(spark, sf_dir, "segments")
+    own = segments.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_trips").alias("t")
+    )
+    agree = result(spark, sf_dir, "profiles").join(own, "segment_id", "left").agg(
+        F.bool_and((F.col("n") == F.col("zone_count")) & (F.col("t") == F.col("total_trips"))).alias("profiles_agree"),
+        F.sum("n").alias("zones"),
+        F.sum("t").alias("trips"),
+    )
+    return agree.select("zones", "trips", "profiles_agree")
+
+
+@query("confusion_recount", sql("""
+SELECT CAST(a AS INTEGER) AS actual_label, CAST(p AS INTEGER) AS predicted_label, true AS agrees
+FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS p)
+"""))
+def confusion_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell of the matrix equals a count over the published predictions."""
+    rows = result(spark, sf_dir, "classification").groupBy(
+        F.col("actual_high_demand").alias("actual_label"),
+        F.col("predicted_high_demand").alias("predicted_label"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    cells = result(spark, sf_dir, "confusion").select("actual_label", "predicted_label", "count")
+    joined = cells.join(rows, ["actual_label", "predicted_label"], "left")
+    return joined.select(
+        "actual_label", "predicted_label", (F.col("count") == F.coalesce("n", F.lit(0))).alias("agrees")
+    )
+
+
+@query("classification_accuracy", sql("SELECT true AS accuracy_agrees, true AS probability_agrees"))
+def classification_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published accuracy from the published rows; the class follows the probability."""
+    accuracy = F.expr("max(metric_value) FILTER (WHERE metric_name = 'accuracy')")
+    stated = result(spark, sf_dir, "classification_metrics").agg(accuracy.alias("a")).first()["a"]
+    hit = (F.col("actual_high_demand") == F.col("predicted_high_demand")).cast("double")
+    side = (F.col("probability_high_demand") > 0.5) == (F.col("predicted_high_demand") == 1)
+    close = F.abs(F.col("probability_high_demand") - 0.5) < 1e-9
+    return result(spark, sf_dir, "classification").agg(
+        (F.abs(F.avg(hit) - F.lit(stated)) < 1e-9).alias("accuracy_agrees"),
+        F.bool_and(side | close).alias("probability_agrees"),
+    )
+
+
 @query("measures_model")
 def measures_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headline quality of each model, one row per measure."""

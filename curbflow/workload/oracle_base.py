@@ -297,6 +297,14 @@ FROM (
 )
 """)
 
+block("model_split", "zone_time", body="""
+SELECT *, CASE WHEN trip_date > cutoff_date THEN 'test' ELSE 'train' END AS split
+FROM (
+  SELECT *, max(trip_date) OVER (PARTITION BY zone_id) - 90 AS cutoff_date
+  FROM zone_time WHERE lag_28 IS NOT NULL
+)
+""")
+
 block("zone_days", "daily", body="""
 SELECT CAST(pickup_location_id AS VARCHAR) AS zone_id, pickup_date AS date,
   sum(trip_count)::DOUBLE AS trips, max(pickup_zone) AS zone_name, max(pickup_borough) AS borough,
