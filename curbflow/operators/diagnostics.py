@@ -14,17 +14,23 @@ from curbflow.functions.calendar import is_rush, is_weekend
 from curbflow.settings import ANOMALY_THRESHOLD
 
 
+# A score within half a unit of this decimal of the threshold counts as on it.
+SCORE_DIGITS = 9
+
+
 def _zscore(value: str, mean: str, deviation: str) -> Column:
     return F.when(
         F.col(deviation) > 0, (F.col(value) - F.col(mean)) / F.col(deviation)
     ).otherwise(0.0)
 
 
-def daily_anomalies(daily: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
+def daily_anomalies(
+    daily: DataFrame, threshold: float = ANOMALY_THRESHOLD, digits: int = SCORE_DIGITS
+) -> DataFrame:
     """Score each day against its own service, zone and weekday.
 
     The direction follows demand only: a day flagged for revenue alone reads NORMAL. Scores are
-    compared at nine decimals, so a score exactly on the threshold does not depend on the order
+    compared at ``digits`` decimals, so a score exactly on the threshold does not depend on the order
     in which a standard deviation was summed.
     """
     peers = Window.partitionBy("service", "pickup_location_id", "pickup_day_of_week")
@@ -43,7 +49,7 @@ def daily_anomalies(daily: DataFrame, threshold: float = ANOMALY_THRESHOLD) -> D
             ),
         }
     )
-    demand, revenue = F.round("demand_zscore", 9), F.round("revenue_zscore", 9)
+    demand, revenue = F.round("demand_zscore", digits), F.round("revenue_zscore", digits)
     return scored.withColumns(
         {
             "is_anomaly": F.greatest(F.abs(demand), F.abs(revenue)) >= threshold,

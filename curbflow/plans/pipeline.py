@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from curbflow.operators import marts
 from curbflow.operators.diagnostics import daily_anomalies, demand_labels
 from curbflow.operators.quality import with_quality
-from curbflow.operators.reconcile import reconcile_counts
+from curbflow.operators import audit
+from curbflow.operators.reconcile import reconcile_counts, reconcile_total
 from curbflow.plans.contracts import CONTRACTS, build_contract
 from curbflow.plans.model_runs import ModelRun, all_metrics, run_models
 from curbflow.settings import ANOMALY_THRESHOLD, SERVICES, ModelSettings, QualityLimits
-from curbflow.sources.files import TRIP_FILE
-from curbflow.sources.lake import read_bronze, read_silver, read_valid_trips
+from curbflow.sources.files import TRIP_FILE, file_inventory, list_files
+from curbflow.sources.lake import EVENT_SCHEMA, read_bronze, read_silver, read_valid_trips
 from curbflow.sources.sinks import (
+    append_events,
     save_model,
     write_csv,
     write_mart,
@@ -59,7 +61,7 @@ def build_silver(
     written. A file that does not balance is an error.
     """
     trips, inventory = read_bronze(spark, bronze, services)
-    write_silver(with_quality(trips, limits), lake.layer("silver"))
+    observed = write_silver(with_quality(trips, limits), lake.layer("silver"))
     periods = inventory.select("service", "year", "month")
     silver = read_silver(spark, lake.layer("silver")).join(
         periods, ["service", "year", "month"], "left_semi"
@@ -78,6 +80,9 @@ def build_silver(
     off = balance.where("NOT reconciled").first()
     if off:
         raise RuntimeError(f"rows were lost in {off.service} {off.year}-{off.month:02d}")
+    total = reconcile_total(balance).first()
+    if (observed["rows"], observed["valid_rows"]) != (total["silver_rows"], total["valid_rows"]):
+        raise RuntimeError(f"Silver holds other rows than were written: {observed}")
     return balance
 
 
@@ -162,3 +167,45 @@ def publish_contracts(
         write_csv(frame, path, single_file=single_file)
         written[name] = path
     return written
+
+
+def run_full(
+    spark: SparkSession,
+    bronze: str,
+    lake: LakePaths,
+    zones: DataFrame,
+    run_id: str,
+    *,
+    settings: ModelSettings | None = ModelSettings(),
+) -> DataFrame:
+    """The whole path under audit; returns the lake's flattened events.
+
+    Start and finish of the run, every file, the balance of every file, every mart and every model
+    become events, appended once at the end. A failure is recorded with its text and raised again.
+    Without ``settings`` the run stops after the marts.
+    """
+    events = [audit.run_started(run_id, "full", {"bronze": bronze, "lake": lake.root})]
+    try:
+        for file in file_inventory(list_files(spark, bronze, "*.parquet")).collect():
+            origin = {"filename": file.filename, "service": file.service, "year": file.year, "month": file.month}
+            events.append(
+                audit.file_status(run_id, origin, "VALIDATED", path=file.path, size_bytes=file.length)
+            )
+        for row in build_silver(spark, bronze, lake).collect():  # one row per file
+            events.append(audit.quality_result(run_id, "silver", "PASSED", **row.asDict()))
+        for name, rows in build_marts(spark, lake, zones).items():
+            status = "PASSED" if rows else "FAILED"
+            events.append(audit.quality_result(run_id, "gold", status, name=name, rows=rows))
+        if settings:
+            for run in build_models(spark, lake, settings).values():
+                events.append(audit.model_run(run_id, run.name, run.metrics))
+    except Exception as error:
+        events.append(audit.run_finished(run_id, error=f"{type(error).__name__}: {error}"))
+        append_events(audit.events_frame(spark, events), lake.layer("audit"))
+        raise
+    events.append(audit.run_finished(run_id, events=len(events)))
+    append_events(audit.events_frame(spark, events), lake.layer("audit"))
+    flat = audit.flatten_events(spark.read.schema(EVENT_SCHEMA).parquet(lake.layer("audit")))
+    if settings:
+        publish_contracts(spark, lake, flat)
+    return flat

@@ -14,7 +14,13 @@ from curbflow.operators.canonical import canonical_trips
 from curbflow.operators.quality import silver_contract, valid_only
 from curbflow.operators.zones import canonical_zones, enrich_trips
 from curbflow.settings import SERVICES
-from curbflow.sources.files import TRIP_FILE, file_inventory, list_files, open_filesystem
+from curbflow.sources.files import (
+    TRIP_FILE,
+    file_inventory,
+    list_files,
+    open_filesystem,
+    trip_files,
+)
 
 EVENT_SCHEMA = (
     "event_id string, event_type string, status string, timestamp_utc timestamp, "
@@ -66,23 +72,27 @@ def read_bronze(
     """Canonical trips of every monthly file below ``root``, and the file inventory.
 
     Published schemas drift in names and types, so files are grouped by the schema in their
-    footers (read on the executors) and each group is one scan: a handful of scans for any number
-    of months. The period of a row comes from its own file's name. Only one line of metadata per
-    file reaches the driver, which needs the paths to plan the scans.
+    footers (read on the executors, files spread over the tasks) and each group is one scan: a
+    handful of scans for any number of months. The period of a row comes from its own file's name.
+    One row per schema reaches the driver, with the paths it needs to plan the scan.
     """
-    inventory = file_inventory(list_files(spark, root, "*.parquet"), services)
-    footers = inventory.select("path", "service").mapInPandas(
-        _schema_texts, "path string, service string, schema string"
+    listing = list_files(spark, root, "*.parquet")
+    inventory = file_inventory(listing, services)
+    spread = trip_files(listing, services).select("path", "service").repartition(
+        spark.sparkContext.defaultParallelism, "path"
+    )
+    by_schema = (
+        spread.mapInPandas(_schema_texts, "path string, service string, schema string")
+        .groupBy("service", "schema")
+        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
     )
-    groups: dict[tuple[str, str], list[str]] = {}
-    for row in footers.collect():
-        groups.setdefault((row.service, row.schema), []).append(row.path)
+    groups = {(row.service, row.schema): row.paths for row in by_schema.collect()}
     if not groups:
         raise FileNotFoundError(f"no monthly trip files below {root}")
     name = "_metadata.file_name"
     parts = [
         canonical_trips(
-            spark.read.parquet(*sorted(paths)),
+            spark.read.parquet(*paths),
             service=service,
             year=f"regexp_extract({name}, r'{TRIP_FILE}', 2)",
             month=f"regexp_extract({name}, r'{TRIP_FILE}', 3)",

@@ -12,6 +12,7 @@ MODULES = (
     "semantic_queries",
     "model_queries",
     "stated_queries",
+    "bronze_queries",
     "lake_queries",
 )
 
