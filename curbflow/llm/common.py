@@ -27,6 +27,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, in a session that hands Python at most BATCH_ROWS whole texts at a time:
+    a worker's memory then follows the longest texts and not the default of ten thousand rows."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def word_array(text: Column) -> Column:
     """Words between white-space runs; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

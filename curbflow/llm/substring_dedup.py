@@ -11,103 +11,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as pads
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbflow.llm.common import Interned, bytes_column, file_store, words_of, written
+from curbflow.llm.common import file_store, small_batches, words_of, written
+from curbflow.llm.text_hash import Hashed, hashed_texts, mix
 from curbflow.session import scratch_path
 
 WINDOW = 50
 ROWS = 2  # rows of the sketch
-SLICE_WINDOWS = 1 << 20  # windows a slice of the sketch is sized for
-WIDTH = 1 << 23  # counters in a row of a slice
-FLUSH = 1 << 22  # windows held before a partition sketch is packed
-GROUP_FLUSH = 1 << 20
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-MAX_WORDS_KNOWN = 300_000
-MASK = (1 << 64) - 1
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WindowHasher:
-    """Two independent 64-bit hashes of every window of a text, from running sums of word hashes."""
-
-    def __init__(self, window: int) -> None:
-        self.window = window
-        self._forget()
-        self.powers = [np.ones(0, np.uint64)] * 2
-        self.inverse = [np.ones(0, np.uint64)] * 2
-
-    def _forget(self) -> None:
-        self.known = Interned()
-        self.hashes = np.zeros(1 << 12, np.uint64)
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > MAX_WORDS_KNOWN:
-            self._forget()
-        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        fresh = self.known.fresh
-        if fresh:
-            if len(self.known) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.hashes), len(fresh)), np.uint64)])
-            at = len(self.known) - len(fresh)
-            self.hashes[at : len(self.known)] = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            fresh.clear()
-        return self.hashes[ids]
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers[0]) < n:
-            size = max(n, 2 * len(self.powers[0]), 1 << 12)
-            for i, base in enumerate(BASES):
-                for store, factor in ((self.powers, base), (self.inverse, pow(base, -1, 1 << 64))):
-                    grown = np.full(size, np.uint64(factor))
-                    grown[0] = 1
-                    store[i] = np.multiply.accumulate(grown)
-
-    def windows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n, size = len(words), self.window
-        if n < size:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self._reach(n + size)
-        with np.errstate(over="ignore"):
-            hashed = self.word_hashes(words)
-            found = []
-            for i in range(2):
-                sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(hashed * self.inverse[i][:n], out=sums[1:])
-                found.append(mix((sums[size:] - sums[:-size]) * self.powers[i][size - 1 : n]))
-                hashed = mix(hashed + np.uint64(1))
-        return found[0], found[1]
-
-
-def counters(h1: np.ndarray, h2: np.ndarray, slices: int) -> list[np.ndarray]:
-    """The counter of each window in every row of the sketch: its slice, then its place in it."""
+SLICE_WINDOWS = 1 << 21  # windows a slice of the sketch is sized for
+WIDTH = 1 << 24  # counters in a row of a slice
+FLUSH = 1 << 19  # windows held before a partition sketch is packed
+GROUP_FLUSH = 1 << 18
+
+
+def counters(h1: np.ndarray, h2: np.ndarray, slices: int, row: int) -> np.ndarray:
+    """The counter of each window in a row of the sketch: its slice, then its place in it."""
     with np.errstate(over="ignore"):
-        base = (h1 % np.uint64(slices)) * np.uint64(WIDTH)
-        return [base + mix(h2 + np.uint64(r * BASES[0] & MASK)) % np.uint64(WIDTH) for r in range(ROWS)]
+        place = mix(h2 + np.uint64(row)) & np.uint64(WIDTH - 1)
+        return (h1 % np.uint64(slices)) * np.uint64(WIDTH) + place
+
+
+@lru_cache(maxsize=1)
+def _squeezer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache(maxsize=1)
+def _expander() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def pack(numbers: np.ndarray) -> bytes:
     """Sorted distinct numbers below 2^32 as packed gaps, their bytes in planes."""
     gaps = np.diff(numbers, prepend=np.uint64(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _squeezer().compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    planes = np.frombuffer(_expander().decompress(raw), np.uint8)
     return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.uint64))
 
 
@@ -116,8 +67,8 @@ def _packed_rows(block: int, found: list[tuple[np.ndarray, np.ndarray]], slices:
     out: dict[str, list] = {"slice": [], "block": [], "r": [], "once": [], "more": []}
     h1 = np.concatenate([a for a, _ in found])
     h2 = np.concatenate([b for _, b in found])
-    for r, keys in enumerate(counters(h1, h2, slices)):
-        keys.sort()
+    for r in range(ROWS):
+        keys = np.sort(counters(h1, h2, slices, r))
         first = np.append(True, keys[1:] != keys[:-1])
         starts = np.flatnonzero(first)
         unique, twice = keys[starts], np.diff(np.append(starts, len(keys))) > 1
@@ -152,9 +103,11 @@ def merge_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(replies, columns=["block", "slice", "r", "repeated"])
 
 
-def _stored_by_block(df: DataFrame, name: str) -> str:
+def _stored_by_block(df: DataFrame, name: str, gather: bool = True) -> str:
+    """Stored in a folder a block. ``gather`` brings a block to one task, so that it is one file;
+    without it each task writes its own, for tables that are large."""
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy("block").parquet(path)
+    (df.repartition("block") if gather else df).write.partitionBy("block").parquet(path)
     return path
 
 
@@ -186,17 +139,26 @@ class _Blocks:
 
 
 def _write_blocks(df: DataFrame, key: str, text: str) -> _Blocks:
-    rows = written(df.withColumns({"_block": F.spark_partition_id().cast("long"), "_key": F.col(key).cast("long")}), "dedup-rows")
+    rows = written(small_batches(df).withColumns({"_block": F.spark_partition_id().cast("long"), "_key": F.col(key).cast("long")}), "dedup-rows")
     # Words have more than one character: this many windows at most, but for very short words.
     chars = rows.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long")).first()[0]
     return _Blocks(rows, max(8, -(-chars // (6 * SLICE_WINDOWS))))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, int | None, list[bytes]]]:
-    for batch in batches:
-        blocks, keys = batch.column("_block").to_pylist(), batch.column("_key").to_pylist()
-        for block, key, body in zip(blocks, keys, bytes_column(batch, text), strict=True):
-            yield block, key, words_of(body)
+def _runs(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, Hashed]]:
+    """Hashed runs of texts that lie in one block, with the texts' keys and where there is one."""
+    for whole in batches:
+        blocks = whole.column("_block").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            batch = whole.slice(a, b - a)
+            keyed = batch.column("_key").is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column("_key").fill_null(0).to_numpy(zero_copy_only=False)
+            for run in hashed_texts(batch.column(text)):
+                span = slice(run.at, run.at + run.count)
+                yield int(blocks[a]), keys[span], keyed[span], run
 
 
 def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
@@ -206,14 +168,16 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
     narrow = blocks.rows.select("_block", "_key", text)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, held, current = WindowHasher(window), [], 0, None
-        for block, key, words in _texts(batches, text):
+        found, held, current = [], 0, None
+        for block, _, keyed, run in _runs(batches, text):
             if found and (block != current or held >= FLUSH):
                 yield _packed_rows(current, found, slices)
                 found, held = [], 0
             current = block
-            if key is not None and len(words) >= window:
-                found.append(hasher.windows(words))
+            h1, h2, at = run.windows(window)
+            with_key = keyed[run.text_of(at)]
+            if with_key.any():
+                found.append((h1[with_key], h2[with_key]))
                 held += len(found[-1][0])
         if found:
             yield _packed_rows(current, found, slices)
@@ -232,22 +196,22 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
         return [np.unique(np.concatenate(r)) for r in rows]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, repeats, found, held, current = WindowHasher(window), [], [], 0, None
-        for block, key, words in _texts(batches, text):
+        repeats, found, held, current = [], [], 0, None
+        for block, keys, keyed, run in _runs(batches, text):
             if found and (block != current or held >= GROUP_FLUSH):
                 yield _least(current, found)
                 found, held = [], 0
             if block != current:
                 current, repeats = block, keys_of(block)
-            if key is None or len(words) < window:
-                continue
-            h1, h2 = hasher.windows(words)
+            h1, h2, at = run.windows(window)
             for r in range(ROWS):
-                inside = _among(repeats[r], counters(h1, h2, slices)[r])
-                h1, h2 = h1[inside], h2[inside]
-            if len(h1):
-                found.append((h1, h2, np.full(len(h1), key, np.int64)))
-                held += len(h1)
+                inside = _among(repeats[r], counters(h1, h2, slices, r))
+                h1, h2, at = h1[inside], h2[inside], at[inside]
+            texts = run.text_of(at)
+            with_key = keyed[texts]
+            if with_key.any():
+                found.append((h1[with_key], h2[with_key], keys[texts][with_key]))
+                held += len(found[-1][0])
         if found:
             yield _least(current, found)
 
@@ -255,7 +219,7 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
     listed = narrow.mapInArrow(pick, "h1 long, h2 int, block long, low long, high long")
     same = Window.partitionBy("h1", "h2")
     hits = listed.withColumn("least", F.min("low").over(same)).filter("high > least").select("block", "h1", "h2", "least")
-    return _stored_by_block(hits, "dedup-hits")
+    return _stored_by_block(hits, "dedup-hits", gather=False)
 
 
 def _least(block: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -273,6 +237,31 @@ def _least(block: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     )
 
 
+def _listed_hits(path: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's windows to remove: first hashes in order, second hashes, least keys."""
+    stored = _of_block(path, block)
+    if stored is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    order = np.argsort(h1 := stored["h1"].to_numpy())
+    return h1[order], stored["h2"].to_numpy()[order], stored["least"].to_numpy()[order]
+
+
+def _hit(listed: tuple[np.ndarray, np.ndarray, np.ndarray], h1: np.ndarray, h2: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which windows are listed with a least key below their own."""
+    first, second, least = listed
+    h1, h2 = h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    out = np.zeros(len(h1), bool)
+    at = np.searchsorted(first, h1)
+    open_at = np.flatnonzero(at < len(first))
+    # Equal first hashes lie side by side: a window listed by two parts of a block, or an accident.
+    while len(open_at := open_at[first[at[open_at]] == h1[open_at]]):
+        p = at[open_at]
+        out[open_at] |= (second[p] == h2[open_at]) & (least[p] < keys[open_at])
+        at[open_at] += 1
+        open_at = open_at[at[open_at] < len(first)]
+    return out
+
+
 def covered_words(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that starts at one of ``starts``."""
     steps = np.zeros(n + 1, np.int64)
@@ -303,44 +292,32 @@ def remove_repeats(
     )
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, current = WindowHasher(window), None
+        current, listed = None, None
         for batch in batches:
-            texts, counts, removed = [], [], []
-            bodies = list(bytes_column(batch, text))
-            for (block, key_, words), body in zip(_texts([batch], text), bodies, strict=True):
+            bodies = batch.column(text).cast(pa.large_binary())
+            texts: list[bytes | None] = []
+            counts, removed = [], []
+            for block, keys, keyed, run in _runs([batch], text):
                 if block != current:
-                    current, stored = block, _of_block(hits, block)
-                    listed = stored.sort_by("h1") if stored is not None else None
-                    h1s = listed["h1"].to_numpy() if listed is not None else np.zeros(0, np.int64)
-                    h2s = listed["h2"].to_numpy() if listed is not None else np.zeros(0, np.int32)
-                    least = listed["least"].to_numpy() if listed is not None else np.zeros(0, np.int64)
-                kept, n = body, len(words)
-                gone = 0
-                if key_ is not None and n >= window and len(h1s):
-                    a, b = hasher.windows(words)
-                    a, b = a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    at = np.searchsorted(h1s, a)
-                    mine = np.zeros(len(a), bool)
-                    # Equal first hashes lie side by side; more than one is a rare accident or the
-                    # same window listed by two parts of a block.
-                    open_at = np.flatnonzero(at < len(h1s))
-                    open_at = open_at[h1s[at[open_at]] == a[open_at]]
-                    while len(open_at):
-                        p = at[open_at]
-                        mine[open_at] |= (h2s[p] == b[open_at]) & (least[p] < key_)
-                        at[open_at] += 1
-                        open_at = open_at[at[open_at] < len(h1s)]
-                        open_at = open_at[h1s[at[open_at]] == a[open_at]]
-                    if mine.any():
-                        drop = covered_words(np.flatnonzero(mine), n, window)
-                        gone = int(drop.sum())
-                        kept = b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d])
-                texts.append(kept)
-                counts.append(n)
-                removed.append(gone)
+                    current, listed = block, _listed_hits(hits, block)
+                h1, h2, at = run.windows(window)
+                own = run.text_of(at)
+                gone = _hit(listed, h1, h2, keys[own]) & keyed[own]
+                drop = covered_words(at[gone], len(run.hashes), window)
+                sums = np.append(0, np.cumsum(drop))
+                lost = sums[run.first[1:]] - sums[run.first[:-1]]
+                counts.append(np.diff(run.first))
+                removed.append(lost)
+                for i in range(run.count):
+                    body = bodies[len(texts)].as_py()
+                    if lost[i]:
+                        left = drop[run.first[i] : run.first[i + 1]].tolist()
+                        body = b" ".join([w for w, d in zip(words_of(body), left, strict=True) if not d])
+                    texts.append(body)
+            none = [np.zeros(0, np.int64)]
             columns = {c: batch.column(c) for c in names} | {text: pa.array(texts, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays(
-                [*columns.values(), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
+                [*columns.values(), pa.array(np.concatenate(counts or none)), pa.array(np.concatenate(removed or none))],
                 [*names, "n_words", "n_removed"],
             )
 
