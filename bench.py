@@ -17,11 +17,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from curbflow.session import build_session  # noqa: E402
+from curbflow.session import build_session, clear_scratch  # noqa: E402
 from curbflow.workload import all_queries  # noqa: E402
 from curbflow.workload.trips import drop_layers, mart, silver_trips  # noqa: E402
 
 HEADLINE = (
+    "bronze_reconciliation",
     "silver_union",
     "dq_rule_counts",
     "reconciliation",
@@ -84,6 +85,7 @@ def main() -> None:
             .save(),
         )
     drop_layers(spark)
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

@@ -47,9 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "curbflow-checkpoints")
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, remembered until ``clear_scratch``."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this session has put below the shared folder; frames that read it end with it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    removed = 0
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        target = hadoop(path)
+        removed += target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return removed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

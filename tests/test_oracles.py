@@ -1,7 +1,4 @@
-"""Registered queries against DuckDB at the smallest scale.
-
-A cross-section runs by default; ORACLE_ALL=1 runs every query that has an oracle.
-"""
+"""Every registered query that has an oracle, against DuckDB at the smallest scale."""
 
 from __future__ import annotations
 
@@ -14,27 +11,7 @@ import __spark_entry__ as entry
 from curbflow.workload.trips import drop_layers
 
 SF_DIR = "/root/testdata/sf0.001"
-CROSS_SECTION = (
-    "canonical_fhvhv",
-    "dq_flags",
-    "reconciliation",
-    "enrich_zones",
-    "daily_demand",
-    "rollup_daily",
-    "route_performance",
-    "daily_anomalies",
-    "demand_labels",
-    "time_features",
-    "zone_features",
-    "star_routes",
-    "page_05",
-    "contract_d04",
-    "page_links",
-    "manifest_reconcile",
-    "audit_flat",
-    "quarantine_write",
-)
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ORACLE_ALL") else CROSS_SECTION
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
