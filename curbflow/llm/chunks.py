@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -36,6 +37,7 @@ class ChunkEncoder:
         self.used = 0
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)
 
     def _new(self, chunk: str) -> int:
         self.fresh.append(chunk)
@@ -48,37 +50,38 @@ class ChunkEncoder:
         return at
 
     def _plan(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        get = self.plain.get
-        plan = [get(part, -2) for part in parts[1:]]
-        if -2 in plan:
+        first, *parts = text.split(" ")
+        plan = list(map(self.plain.get, parts))
+        if None in plan:
             for i, at in enumerate(plan):
-                if at == -2:
-                    part = parts[i + 1]
-                    at = get(part, -2)
-                    if at == -2:
-                        clean = bool(part) and self.cut(part, "x") and self.cut("x", part)
-                        at = self.plain[part] = self._new(self.joiner + part) if clean else -1
-                    plan[i] = at
-        first = parts[0]
+                if at is None:
+                    plan[i] = self._part(parts[i])
         if -1 not in plan and (not plan or (first and self.cut(first, "x"))):
             return [self._whole(self.head + first), *plan]
-        plan, chunk = [], self.head + first
-        for left, right in zip(parts, parts[1:], strict=False):
+        plan, chunk, left = [], self.head + first, first
+        for right in parts:
             if self.cut(left, right):
                 plan.append(self._whole(chunk))
                 chunk = self.joiner + right
             else:
                 chunk += self.joiner + right
+            left = right
         plan.append(self._whole(chunk))
         return plan
 
+    def _part(self, part: str) -> int:
+        at = self.plain.get(part)
+        if at is None:
+            clean = part.isalnum() or (bool(part) and self.cut(part, "x") and self.cut("x", part))
+            at = self.plain[part] = self._new(self.joiner + part) if clean else -1
+        return at
+
     def _learn(self) -> None:
         if not self.fresh:
             return
-        ids = [np.asarray(x, np.int32) for x in self.encode_many(self.fresh)]
-        lengths = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
+        ids = list(self.encode_many(self.fresh))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         if self.used + len(flat) > len(self.pool):
             grown = np.zeros(max(2 * len(self.pool), self.used + len(flat)), np.int32)
             grown[: self.used] = self.pool[: self.used]
@@ -88,10 +91,12 @@ class ChunkEncoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(flat)
         self.known += len(self.fresh)
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.fresh), np.int32)])
         self.fresh = []
 
     def _ids(self, plan: list[int]) -> np.ndarray:
         at = np.array(plan, np.int64)
+        self.uses[at] += 1
         lengths = self.lengths[at]
         before = np.cumsum(lengths) - lengths
         total = int(before[-1] + lengths[-1])
@@ -113,5 +118,22 @@ class ChunkEncoder:
         self._learn()
         for plan in plans:
             yield self._ids(plan) if plan is not None else np.zeros(0, np.int32)
-        if self.known > self.limit or self.used > 8 * self.limit:
+        if self.known > self.limit or self.used > 16 * self.limit:
+            self._forget()
+
+    def _forget(self) -> None:
+        """Keep the chunks that two texts or more have used, if they are at most half of the pool."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2 or int(self.lengths[kept].sum()) > 8 * self.limit:
             self._clear()
+            return
+        lengths = self.lengths[kept]
+        before = np.cumsum(lengths) - lengths
+        pool = self.pool[np.repeat(self.starts[kept] - before, lengths) + np.arange(int(lengths.sum()))]
+        place = np.full(self.known, -2, np.int64)
+        place[kept] = np.arange(len(kept))
+        moved = place.tolist()
+        self.plain = {part: moved[at] for part, at in self.plain.items() if at >= 0 and moved[at] >= 0}
+        self.whole = {chunk: moved[at] for chunk, at in self.whole.items() if moved[at] >= 0}
+        self.pool, self.used, self.known = pool, len(pool), len(kept)
+        self.starts, self.lengths, self.uses = before, lengths, np.zeros(len(kept), np.int32) + 1
