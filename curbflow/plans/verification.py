@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbflow.operators.audit import latest_by
 from curbflow.plans.model_runs import CLASSIFY_MODEL, FORECAST_MODEL, SEGMENT_MODEL
+from curbflow.sources.files import TRIP_FILE
 
 # Metrics a model must report, and the closed range each must lie in.
 METRIC_BOUNDS = (
@@ -28,6 +30,19 @@ METRIC_BOUNDS = (
     (CLASSIFY_MODEL, "test_rows", 1.0, None),
 )
 HISTORICAL_FILES = 144  # four services, three years, twelve months
+REQUIRED_MARTS = (
+    "daily",
+    "hourly",
+    "finance",
+    "routes",
+    "tips",
+    "anomalies",
+    "timeseries_base",
+    "zone_profile_base",
+    "demand_labels_base",
+)
+REQUIRED_MODELS = (FORECAST_MODEL, SEGMENT_MODEL, CLASSIFY_MODEL)
+ZONE_COLUMNS = ("location_id", "borough", "zone", "service_zone")
 REQUIRED_EVENTS = ("pipeline_run", "file_status", "quality_result", "model_run")
 
 
@@ -59,6 +74,45 @@ def metric_bounds(metrics: DataFrame) -> DataFrame:
     return joined.select("model_name", "metric_name", value, fits.alias("in_range"))
 
 
+def last_status(
+    flat: DataFrame, event_type: str, key: str, expected: Sequence[str], good: str
+) -> DataFrame:
+    """Those of ``expected`` whose last event of this type is not ``good``, or that have none."""
+    own = flat.where(f"event_type = '{event_type}'").withColumn("name", F.expr(key)).where("name IS NOT NULL")
+    last = latest_by(own, "name").select("name", F.col("status").alias("last_status"))
+    wanted = flat.sparkSession.createDataFrame([(n,) for n in expected], "name string")
+    return wanted.join(last, "name", "left").where(f"coalesce(last_status, 'NONE') <> '{good}'")
+
+
+def missing_columns(zones: DataFrame) -> DataFrame:
+    absent = [(c,) for c in ZONE_COLUMNS if c not in zones.columns]
+    return zones.sparkSession.createDataFrame(absent, "name string")
+
+
+def verify_run(
+    flat: DataFrame, exported: DataFrame, zones: DataFrame, reconciled: DataFrame
+) -> DataFrame:
+    """What a run's own audit must show: types, files, balance, every mart and every model."""
+    spark = flat.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in REQUIRED_EVENTS], "event_type string")
+    seen = flat.select("event_type").distinct()
+    files = flat.where("event_type = 'file_status'")
+    foreign = files.where(f"NOT coalesce(filename, '') RLIKE r'{TRIP_FILE}' OR size_bytes IS NULL OR size_bytes <= 0")
+    lost = flat.join(exported.select("event_id"), "event_id", "left_anti")
+    named = "get_json_object(details_json, '$.name')"
+    gold = flat.where("layer = 'gold'")
+    reports = (
+        check("event_types", wanted.join(seen, "event_type", "left_anti"), "types never recorded"),
+        check("files", foreign, "files with a foreign name or no size"),
+        check("zone_columns", missing_columns(zones), "lookup columns are missing"),
+        check("reconciliation", reconciled.where("NOT reconciled"), "row counts do not balance"),
+        check("marts", last_status(gold, "quality_result", named, REQUIRED_MARTS, "PASSED"), "marts without a passed last event"),
+        check("models", last_status(flat, "model_run", "model_name", REQUIRED_MODELS, "SUCCEEDED"), "models without a successful last run"),
+        check("audit_export", lost, "events missing from the export"),
+    )
+    return reduce(DataFrame.unionByName, reports)
+
+
 def verify_lake(
     *,
     expected: DataFrame,

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbflow.operators import audit
 from curbflow.operators.quality import with_quality
 from curbflow.operators.reconcile import reconcile_counts
 from curbflow.plans.pipeline import LakePaths, build_silver, run_full
+from curbflow.plans.verification import verify_run
 from curbflow.session import scratch_path
 from curbflow.settings import SERVICES
 from curbflow.sources import sinks
 from curbflow.sources.files import file_inventory, list_files
-from curbflow.sources.lake import read_bronze, read_silver
+from curbflow.sources.lake import EVENT_SCHEMA, FLAT_EVENT_SCHEMA, read_bronze, read_silver
 from curbflow.workload.oracle_base import sql
 from curbflow.workload.registry import query
 from curbflow.workload.trips import family_files, family_frame, zone_lookup
@@ -138,3 +140,25 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("event_type", "status", "layer").agg(
         F.count(F.lit(1)).alias("events"), F.sum("source_rows").alias("source_rows")
     )
+
+
+@query("verification_run", sql("""
+SELECT * FROM (VALUES ('event_types', false, 1::BIGINT), ('files', true, 0), ('zone_columns', true, 0), ('reconciliation', false,
+    (SELECT count(DISTINCT (service, month)) FROM silver WHERE NOT dq_valid AND month = 3 AND service = 'green')),
+  ('marts', false, 1), ('models', false, 3), ('audit_export', true, 0)) t("check", passed, violations)
+""", "silver"))
+def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without models, with one file's quarantine lost and one mart failing later: the report
+    names exactly these faults. Events come back from the exported file."""
+    lake = LakePaths(scratch_path(spark, "lake"))
+    zones = zone_lookup(spark, sf_dir)
+    flat = run_full(spark, bronze_files(spark, sf_dir), lake, zones, "r1", settings=None)
+    later = audit.quality_result("r2", "gold", "FAILED", name="routes", rows=0)
+    sinks.append_events(audit.events_frame(spark, [later]), lake.layer("audit"))
+    flat = audit.flatten_events(spark.read.schema(EVENT_SCHEMA).parquet(lake.layer("audit")))
+    sinks.export_events(flat, lake.layer("export"))
+    exported = spark.read.schema(FLAT_EVENT_SCHEMA).json(lake.layer("export", "json"))
+    silver = read_silver(spark, lake.layer("silver"))
+    lost = spark.read.schema(silver.schema).parquet(lake.layer("quarantine")).where("month <> 3 OR service <> 'green'")
+    balance = reconcile_counts(silver.select("service", "year", "month"), silver, lost)
+    return verify_run(flat, exported, zones, balance).select("check", "passed", "violations")
