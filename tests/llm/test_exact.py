@@ -513,3 +513,27 @@ def test_every_query_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11))
     assert json.dumps(sorted(QUERIES))
+
+
+# --- hashing --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit", [16, 64, 1 << 20])
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch, limit):
+    import pyarrow as pa
+
+    from curbflow.llm import text_hash
+
+    column = pa.array([t.encode() if t is not None else None for _, t in texts()] + [b"x" * 300 + b" y"], pa.binary())
+    whole = [run.hashes for run in text_hash.hashed_texts(column)]
+    monkeypatch.setattr(text_hash, "CHUNK_BYTES", limit)
+    parts = list(text_hash.hashed_texts(column))
+    assert np.array_equal(np.concatenate(whole), np.concatenate([run.hashes for run in parts]))
+    assert sum(run.count for run in parts) == len(column)
+    counts = np.concatenate([np.diff(run.first) for run in parts]).tolist()
+    assert counts == [len(split(t)) for _, t in texts()] + [2]
+    by_word = {}
+    words = [w for _, t in texts() for w in split(t)] + [b"x" * 300, b"y"]
+    for word, value in zip(words, np.concatenate(whole).tolist(), strict=True):
+        assert by_word.setdefault(word, value) == value
+    assert len(set(by_word.values())) == len(by_word)
