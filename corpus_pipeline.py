@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curbflow.llm.common import table, written
 from curbflow.llm.jaccard_join import keep_first
-from curbflow.llm.piece_codec import decode_pieces, encode_pieces
+from curbflow.llm.piece_codec import encode_pieces
 from curbflow.llm.quality_mil import score_quality, train_quality
 from curbflow.llm.source_mix import mixed_rows
 from curbflow.llm.substring_dedup import remove_repeats
@@ -41,7 +41,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    coded = decode_pieces(encode_pieces(docs.select("doc_id", "source", "text")))
+    coded = encode_pieces(docs.select("doc_id", "source", "text"), decoded="decoded")
     return coded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import small_batches, written
+from curbflow.llm.common import lean, small_batches, written
 from curbflow.llm.components import connected
 from curbflow.llm.substring_dedup import _of_block, _stored_by_block
 from curbflow.llm.text_hash import hashed_texts, mix
@@ -161,7 +161,7 @@ def _digests(rows: DataFrame, text: str) -> DataFrame:
         )
 
     return written(
-        rows.mapInArrow(run, "kind int, rid long, key long, n long, s1 long, s2 long, sketch array<long>, counts binary"), "jaccard-digests"
+        rows.mapInArrow(lean(run), "kind int, rid long, key long, n long, s1 long, s2 long, sketch array<long>, counts binary"), "jaccard-digests"
     )
 
 
@@ -236,7 +236,7 @@ def _keys(rows: DataFrame, text: str, chosen: str, common: np.ndarray, seed: int
                     [pa.array(np.concatenate(x)) for x in (keys, places, rids, sizes)], ["key", "place", "rid", "n"]
                 )
 
-    return rows.mapInArrow(run, "key long, place long, rid long, n int")
+    return rows.mapInArrow(lean(run), "key long, place long, rid long, n int")
 
 
 def may_link(n_a: np.ndarray, before_a: np.ndarray, n_b: np.ndarray, before_b: np.ndarray) -> np.ndarray:
@@ -313,7 +313,7 @@ def _meet(keys: DataFrame) -> DataFrame:
 
     return (
         keys.repartition("key").sortWithinPartitions("key", "place", "rid")
-        .mapInArrow(run, "kind int, key long, a long, b long, n long")
+        .mapInArrow(lean(run), "kind int, key long, a long, b long, n long")
     )
 
 
@@ -365,11 +365,11 @@ def verified(rows: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return written(
-        rows.mapInArrow(sets_of, "a long, salt long, rid long, set binary")
+        rows.mapInArrow(lean(sets_of), "a long, salt long, rid long, set binary")
         .repartition("a", "salt")
         # a is the smaller of its pair, so its own set comes first.
         .sortWithinPartitions("a", "salt", "rid")
-        .mapInArrow(compare, "a long, b long"),
+        .mapInArrow(lean(compare), "a long, b long"),
         "jaccard-links",
     )
 
@@ -529,4 +529,4 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 keep &= ~np.isin(rids, gone)
             yield batch.filter(pa.array(keep)).select(names)
 
-    return rows.mapInArrow(run, df.schema)
+    return rows.mapInArrow(lean(run), df.schema)

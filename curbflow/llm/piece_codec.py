@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from curbflow.llm.chunks import ChunkEncoder
+from curbflow.llm.common import lean, small_batches
 
 MARK = "▁"
 PIECES = "piece_bpe_32k.model"
@@ -97,15 +98,17 @@ class PieceModel:
             p = start
         return out[::-1]
 
+    @cached_property
     def encoder(self) -> ChunkEncoder:
         """Whole texts. No piece has the mark behind another character, so the best path of a text
-        is made of the best paths between such places, and words are encoded once each."""
+        is made of the best paths between such places, and words are encoded once each. It stays
+        with the Python worker, so later tasks know the words of earlier ones."""
         if self.crosses:
             cut = lambda left, right: False  # noqa: E731 - one chunk: pieces may cross spaces
         else:
             cut = lambda left, right: bool(left) and left[-1] != MARK
         return ChunkEncoder(
-            lambda chunks: [self.viterbi(c.replace(" ", MARK)) for c in chunks], cut, joiner=MARK, head=MARK
+            lambda chunks: [self.viterbi(c.replace(" ", MARK)) for c in chunks], cut, joiner=MARK, head=MARK, limit=200_000
         )
 
     def decode(self, ids: np.ndarray) -> str:
@@ -130,18 +133,24 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 
 def encode_pieces(
-    df: DataFrame, text: str = "text", ids: str = "ids", model: str = PIECES
+    df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, model: str = PIECES
 ) -> DataFrame:
-    """``df`` with the piece ids of each whole text; a null or empty text has no ids.
+    """``df`` with the piece ids of each whole text; a null or empty text has no ids. With
+    ``decoded``, the ids are decoded again in the same pass, into a column of that name.
 
     Every row is encoded by itself, so repeated rows agree and an empty table stays empty. An input
     column named like ``ids`` is replaced. U+2581 in a text is a space to this vocabulary.
     """
     source = df.drop(ids) if ids != text else df
     schema = _schema(df, ids, T.ArrayType(T.IntegerType(), False))
+    if decoded:
+        source = source.drop(decoded)
+        fields = [f for f in schema.fields if f.name != decoded]
+        schema = T.StructType([*fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_model(tokenizer_path(model)).encoder()
+        pieces = load_model(tokenizer_path(model))
+        encoder = pieces.encoder
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -149,9 +158,12 @@ def encode_pieces(
                 found = list(encoder.encode(texts))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                yield _replaced(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                batch = _replaced(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                if decoded:
+                    batch = _replaced(batch, decoded, pa.array([pieces.decode(x) for x in found], pa.string()))
+                yield batch
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(
@@ -170,4 +182,4 @@ def decode_pieces(
             ]
             yield _replaced(batch, text, pa.array(texts, pa.string()))
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(lean(run), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbflow.llm.common import Interned, bytes_column, words_of
+from curbflow.llm.common import Interned, bytes_column, lean, small_batches, words_of
 
 PASSAGE_WORDS = 64
 MAX_WORDS_KNOWN = 300_000
@@ -199,7 +199,7 @@ def train_quality(
             )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    sample = rows.mapInArrow(encode, f"_key {kind}, bag binary, label double").collect()
+    sample = small_batches(rows).mapInArrow(lean(encode), f"_key {kind}, bag binary, label double").collect()
     sample.sort(key=lambda r: (str(r["_key"]), bytes(r["bag"])))  # the same order in every run
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in sample]
     return fit(bags, np.array([r["label"] for r in sample]), epochs)
@@ -229,4 +229,4 @@ def score_quality(df: DataFrame, model: MilModel, text: str = "text", score: str
             flat = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat)], [*batch.schema.names, score])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(lean(run), schema)

@@ -119,10 +119,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_piece_codec")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from curbflow.llm.piece_codec import decode_pieces, encode_pieces
+    from curbflow.llm.piece_codec import encode_pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode_pieces(encode_pieces(docs)).select(
+    return encode_pieces(docs, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "ids",

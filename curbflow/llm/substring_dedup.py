@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbflow.llm.common import file_store, small_batches, words_of, written
+from curbflow.llm.common import file_store, lean, small_batches, words_of, written
 from curbflow.llm.text_hash import Hashed, hashed_texts, mix
 from curbflow.session import scratch_path
 
@@ -182,7 +182,7 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
         if found:
             yield _packed_rows(current, found, slices)
 
-    sketches = narrow.mapInArrow(sketch, "slice long, block long, r int, once binary, more binary")
+    sketches = narrow.mapInArrow(lean(sketch), "slice long, block long, r int, once binary, more binary")
     replies = _stored_by_block(
         sketches.groupBy("slice").applyInPandas(merge_slice, "block long, slice long, r int, repeated binary"), "dedup-repeats"
     )
@@ -216,7 +216,7 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
             yield _least(current, found)
 
     # A window has one row a block, however many documents hold it: a common one stays small.
-    listed = narrow.mapInArrow(pick, "h1 long, h2 int, block long, low long, high long")
+    listed = narrow.mapInArrow(lean(pick), "h1 long, h2 int, block long, low long, high long")
     same = Window.partitionBy("h1", "h2")
     hits = listed.withColumn("least", F.min("low").over(same)).filter("high > least").select("block", "h1", "h2", "least")
     return _stored_by_block(hits, "dedup-hits", gather=False)
@@ -321,4 +321,4 @@ def remove_repeats(
                 [*names, "n_words", "n_removed"],
             )
 
-    return blocks.rows.mapInArrow(strip, schema)
+    return blocks.rows.mapInArrow(lean(strip), schema)
