@@ -418,10 +418,12 @@ def link_components(rows: DataFrame, text: str, found: DataFrame, sketches: Data
     # member that has the fewest.
     fewest = groups.groupBy("key").agg(F.min("before").alias("_fewest"))
     groups = groups.join(fewest, "key").filter("4 * (before + _fewest) <= n").drop("_fewest")
-    # Of keys with the same members one is enough.
-    alike = groups.groupBy("key").agg(F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("_sum"), F.count("*").alias("_n"))
-    one = alike.groupBy("_sum", "_n").agg(F.min("key").alias("key")).select("key")
-    groups = groups.join(one, "key", "left_semi").join(sketches.select("rid", "sketch"), "rid")
+    # Keys with the same members are one group. The first key that a pair shares may be any of them,
+    # so a member takes its least place over all: no pair is refused that its first key would keep.
+    alike = groups.groupBy("key").agg(F.xxhash64(F.sum(F.xxhash64("rid").cast("decimal(38,0)")), F.count("*")).alias("_class"))
+    merged = groups.join(alike, "key").groupBy("_class", "rid").agg(F.min("place").alias("place"), F.min("n").alias("n"))
+    groups = merged.select(F.col("_class").alias("key"), "rid", "place", "n", F.col("place").bitwiseAND(F.lit(LOW)).alias("before"))
+    groups = groups.join(sketches.select("rid", "sketch"), "rid")
     groups = written(groups, "jaccard-groups")
     leaders = 256
     while True:
