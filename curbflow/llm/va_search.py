@@ -25,7 +25,7 @@ def scaled(vector: Column, factor: int) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -155,8 +155,8 @@ def exact_top_k(
     Ties go to the smaller key. A query is not its own candidate, nor is another row with its key.
     Of equal vectors only the k + 1 smallest keys can be in any answer, so a very common vector is
     cut to those before the scan and nothing is lost. Null keys and vectors, and null components,
-    take no part; vectors meet only those with as many components. Equal rows count once. Gives
-    query_id, rank, vec_id and score; an empty table gives none.
+    take no part; vectors meet only those with as many components, and those of none score 0 among
+    themselves. Equal rows count once. Gives query_id, rank, vec_id and score; an empty table gives none.
     """
     spark = vectors.sparkSession
     whole = written(

@@ -76,6 +76,12 @@ def test_top_k_of_few_and_none(spark):
     assert va_search.exact_top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_empty_vectors_score_zero_among_themselves(spark):
+    df = spark.createDataFrame([(0, []), (20, []), (21, []), (40, [3, 4]), (41, [1, 2])], "vec_id long, v array<long>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in va_search.exact_top_k(df, F.col("vec_id") % 20 == 0, k=2).collect()}
+    assert got == {(0, 1, 20, 0), (0, 2, 21, 0), (20, 1, 0, 0), (20, 2, 21, 0), (40, 1, 41, 11)}
+
+
 def test_unusable_vectors(spark):
     df = spark.createDataFrame([(1, [1.5, -0.1]), (2, [float("nan"), 0.0]), (3, [None, 0.0]), (4, None), (5, [float("-inf"), 0.0])], "vec_id long, e array<float>")
     got = df.filter(va_search.usable(F.col("e"))).select(va_search.scaled(F.col("e"), 64).alias("v")).collect()
