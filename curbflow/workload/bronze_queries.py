@@ -153,7 +153,8 @@ def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     names exactly these faults. Events come back from the exported file."""
     lake = LakePaths(scratch_path(spark, "lake"))
     zones = zone_lookup(spark, sf_dir)
-    flat = run_full(spark, bronze_files(spark, sf_dir), lake, zones, "r1", settings=None)
+    bronze = bronze_files(spark, sf_dir)
+    flat = run_full(spark, bronze, lake, zones, "r1", settings=None)
     later = audit.quality_result("r2", "gold", "FAILED", name="routes", rows=0)
     sinks.append_events(audit.events_frame(spark, [later]), lake.layer("audit"))
     flat = audit.flatten_events(spark.read.schema(EVENT_SCHEMA).parquet(lake.layer("audit")))
@@ -161,5 +162,6 @@ def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     exported = spark.read.schema(FLAT_EVENT_SCHEMA).json(lake.layer("export", "json"))
     silver = read_silver(spark, lake.layer("silver"))
     lost = spark.read.schema(silver.schema).parquet(lake.layer("quarantine")).where("month <> 3 OR service <> 'green'")
-    balance = reconcile_counts(silver.select("service", "year", "month"), silver, lost)
+    trips, _ = read_bronze(spark, bronze)
+    balance = reconcile_counts(trips.select("service", "year", "month"), silver, lost)
     return verify_run(flat, exported, zones, balance).select("check", "passed", "violations")
