@@ -232,3 +232,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op13_jacobi_davidson")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
