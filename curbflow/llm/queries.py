@@ -239,3 +239,14 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curbflow.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op12_katz_backoff")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curbflow.llm.katz_backoff import score_texts
+    from curbflow.llm.quality_mil import in_fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, ~in_fold("doc_id", 1, 5)).select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
