@@ -227,6 +227,15 @@ def kept_counts(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return counts * np.append(np.append(0.0, ratios), 1.0)[np.minimum(counts, len(ratios) + 1)]
 
 
+def single_chances(counts: np.ndarray, level: Level) -> np.ndarray:
+    """P(w) of words by their counts. All words that training texts do not hold are one kind, and
+    what the discounts free is theirs."""
+    d = level.discounts
+    free = sum((1 - d[r - 1]) * r * level.of_count[r - 1] for r in range(1, RARE + 1))
+    whole = level.tokens if free > 0 else level.tokens + 1
+    return np.where(counts > 0, kept_counts(counts, d), free if free > 0 else 1.0) / whole
+
+
 # --- requests -------------------------------------------------------------------------------------
 
 ASK_SCHEMA = "slice long, chunk long, histories binary, sizes binary, words binary, counts binary, below binary, below_at binary"
@@ -255,7 +264,8 @@ class _Asked:
     histories: np.ndarray  # by n-gram
     words: np.ndarray
     counts: np.ndarray
-    below: np.ndarray
+    below: np.ndarray  # the word's probability one level below; after single words, its count
+    split: np.ndarray  # by n-gram: whether its history is in several slices
     extra_slices: np.ndarray  # parts of split histories that no own n-gram lies in, by slice
     extra: np.ndarray
 
@@ -281,7 +291,7 @@ class Chunk:
         self.scored = self.inside >= plan.order - 1
         self.counted = self.scored & np.repeat(self.trained > 0, self.lengths)
         self.padding = self.words[self.tokens] == START
-        self.level = 0
+        self.level, self.single = 0, Level((0,) * (RARE + 1), 0, 0)
         # Of the n-gram that ends at each token: its place in this chunk, hash and count; and the
         # token's probability after it without its last word.
         self.ids = np.zeros(len(self.tokens), np.int64)
@@ -314,7 +324,10 @@ class Chunk:
         place[order] = np.arange(len(order))
         grams = np.full(len(self.tokens), -1)
         grams[asked] = place[at]
-        return _Asked(grams, slices[order], histories[order], words[order], counts[order], self.chance[one][order], extra_slices, extra)
+        return _Asked(
+            grams, slices[order], histories[order], words[order], counts[order], (self.seen if k == 2 else self.chance)[one][order], split[order] > 1,
+            extra_slices, extra,
+        )
 
     def _slice(self, histories: np.ndarray, part: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -339,13 +352,10 @@ class Chunk:
         parts = list(asked.by_slice())
         counts = np.concatenate([unpack(replies[s]["counts"]) for s, _, _ in parts])
         if k == 1:
-            # All words that training texts do not hold are one kind, and what is freed is theirs.
-            free = sum((1 - d[r - 1]) * r * level.of_count[r - 1] for r in range(1, RARE + 1))
-            whole = level.tokens if free > 0 else level.tokens + 1
-            chance = np.where(counts > 0, kept_counts(counts, d), free if free > 0 else 1.0) / whole
-            mixed = asked.words
+            chance = single_chances(counts, level)
+            self.single, mixed = level, asked.words
         else:
-            chance = self._backed_off(asked, parts, replies, counts, d)
+            chance = self._backed_off(asked, parts, replies, counts, d, self.single)
             with np.errstate(over="ignore"):
                 mixed = mix(asked.histories * U64(0xC2B2AE3D27D4EB4F) + asked.words)
         has = asked.grams >= 0
@@ -361,10 +371,10 @@ class Chunk:
 
     def _backed_off(
         self, asked: _Asked, parts: list[tuple[int, slice, np.ndarray]], replies: dict[int, dict[str, object]],
-        counts: np.ndarray, d: np.ndarray,
+        counts: np.ndarray, d: np.ndarray, single: Level,
     ) -> np.ndarray:
         found = [
-            (h, unpack(r["totals"]), unpack(r["rare"]).reshape(-1, RARE), unpack(r["sums"], np.float64))
+            (h, unpack(r["totals"]), unpack(r["rare"]).reshape(RARE, -1).T, unpack(r["sums"], np.float64))
             for h, r in ((h, replies[s]) for s, _, h in parts)
         ]
         h, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
@@ -372,20 +382,27 @@ class Chunk:
         totals = np.bincount(at, np.concatenate([f[1] for f in found]), len(h))
         sums = np.bincount(at, np.concatenate([f[3] for f in found]), len(h))
         rare = np.concatenate([f[2] for f in found])
+        # Where nothing unseen is asked of a history, only whether it frees anything is right, and needed.
         free = sum(np.bincount(at, rare[:, r - 1], len(h)) * ((1 - d[r - 1]) * r) for r in range(1, RARE + 1))
         # A history whose every count is above the rare ones frees nothing: one count is added.
         whole = np.where(free > 0, totals, totals + 1)
         weight = np.where(totals > 0, np.where(free > 0, free, 1.0) / whole / np.maximum(1 - sums, 1e-15), 1.0)
         of = np.searchsorted(h, asked.histories)
-        return np.where(counts > 0, kept_counts(counts, d) / np.maximum(whole[of], 1), weight[of] * asked.below)
+        below = single_chances(asked.below, single) if self.level == 1 else asked.below
+        return np.where(counts > 0, kept_counts(counts, d) / np.maximum(whole[of], 1), weight[of] * below)
 
 
 def _requests(chunk: Chunk) -> list[dict[str, object]]:
     """A row a slice that the chunk has something to ask of. Single words have no history."""
     asked, single, out = chunk.ask(), chunk.level == 0, []
     for s, own, h in asked.by_slice():
-        words, below = asked.words[own], pack_few(asked.below[own])
-        sizes = np.bincount(np.searchsorted(h, asked.histories[own]), minlength=len(h))
+        words = asked.words[own]
+        # A count says all of a single word's probability and takes less room.
+        below = (b"", pack(asked.below[own])) if chunk.level == 1 else pack_few(asked.below[own])
+        at = np.searchsorted(h, asked.histories[own])
+        # The last bit of a size marks a history that is put together from several slices.
+        sizes = 2 * np.bincount(at, minlength=len(h)) + 1
+        sizes[at[~asked.split[own]]] &= -2
         out.append({
             "slice": s, "chunk": chunk.name, "histories": b"" if single else pack(np.diff(h, prepend=U64(0))),
             "sizes": b"" if single else pack(sizes), "words": pack(np.diff(words, prepend=U64(0)) if single else words),
@@ -394,21 +411,26 @@ def _requests(chunk: Chunk) -> list[dict[str, object]]:
     return out
 
 
-def merge_slice(pdf: pd.DataFrame, single: bool) -> pd.DataFrame:
+def merge_slice(pdf: pd.DataFrame, levels: tuple[Level, ...]) -> pd.DataFrame:
     """Add one slice up and reply to every chunk; a last row, of no chunk, has the slice's counts of
-    counts, its tokens and kinds. ``single``: the n-grams are words without a history."""
+    counts, its tokens and kinds. ``levels`` are those below; without any, n-grams are words of no history."""
+    single = not levels
     s = int(pdf["slice"].iloc[0])
-    own, of, words, counts, below = [], [], [], [], []
+    own, sizes_of, of, words, counts, below = [], [], [], [], [], []
     for row in pdf.itertuples():
         histories = np.cumsum(unpack(row.histories, U64), dtype=U64)
         w = unpack(row.words, U64)
         own.append(histories)
-        of.append(np.zeros(len(w), U64) if single else np.repeat(histories, unpack(row.sizes)))
+        sizes_of.append(unpack(row.sizes))
+        of.append(np.zeros(len(w), U64) if single else np.repeat(histories, sizes_of[-1] >> 1))
         words.append(np.cumsum(w, dtype=U64) if single else w)
         counts.append(unpack(row.counts))
-        below.append(unpack(row.below, np.float64)[unpack(row.below_at)])
-    ends = np.cumsum([len(w) for w in words])
+        at = unpack(row.below_at)
+        below.append(single_chances(at, levels[0]) if len(levels) == 1 else unpack(row.below, np.float64)[at])
+    lengths = [len(w) for w in words]
+    ends = np.cumsum(lengths)
     h, w, c, p = (np.concatenate(x) for x in (of, words, counts, below))
+    del of, words, counts, below
     with np.errstate(over="ignore"):
         keys = w if single else mix(h * U64(0x9E3779B97F4A7C15) + mix(w))
     order = np.argsort(keys, kind="stable")
@@ -427,18 +449,24 @@ def merge_slice(pdf: pd.DataFrame, single: bool) -> pd.DataFrame:
     names = np.append(names, U64(0))
     totals, sums, rare = np.append(totals, 0), np.append(sums, 0.0), np.vstack([rare, np.zeros((1, RARE), np.int64)])
     replies = []
-    for chunk, h, end, w in zip(pdf["chunk"], own, ends, words, strict=True):
-        place = np.searchsorted(names[:-1], h)
-        place[names[place] != h] = sizes
-        asked = total[back[end - len(w) : end]]
-        replies.append((chunk, s, pack(asked), pack(totals[place]), pack(rare[place].ravel()), pack(sums[place])))
+    for chunk, asked_h, coded, end, n in zip(pdf["chunk"], own, sizes_of, ends, lengths, strict=True):
+        place = np.searchsorted(names[:-1], asked_h)
+        place[names[place] != asked_h] = sizes
+        asked = total[back[end - n : end]]
+        # Only an unseen n-gram needs its history's backoff weight. Of other histories the chunk
+        # needs to know no more than which rare counts there are.
+        unseen = np.bincount(np.repeat(np.arange(len(coded)), coded >> 1), asked == 0, len(coded)) if len(coded) else np.zeros(0)
+        weighed = (unseen > 0) | (coded & 1 > 0)
+        rare_of = np.where(weighed[:, None], rare[place], np.minimum(rare[place], 1))
+        sums_of = np.where(weighed, sums[place], 0.0)
+        replies.append((chunk, s, pack(asked), pack(totals[place]), pack(np.ascontiguousarray(rare_of.T).ravel()), pack(sums_of)))
     stats = [int((known == r).sum()) for r in range(1, RARE + 2)] + [int(known.sum()), len(known)]
     replies.append((-1, s, pack(np.array(stats)), b"", b"", b""))
     return pd.DataFrame(replies, columns=[c.split(" ")[0] for c in REPLY_SCHEMA.split(", ")])
 
 
-def _merger(single: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: merge_slice(pdf, single)
+def _merger(levels: tuple[Level, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: merge_slice(pdf, levels)
 
 
 class _Replies:
@@ -477,10 +505,10 @@ def _levels(chunks: DataFrame, plan: Plan, groups: int) -> tuple[list[Level], li
             F.pmod(F.shiftright("chunk", 32) * 31 + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(groups))
         )
         # One folder and one file a group of chunks, so files grow with chunks and not with tasks.
-        replies = asked.groupBy("slice").applyInPandas(_merger(k == 1), REPLY_SCHEMA).withColumn("group", group)
+        replies = asked.groupBy("slice").applyInPandas(_merger(known), REPLY_SCHEMA).withColumn("group", group)
         replies.repartition("group").sortWithinPartitions("group", "chunk").write.partitionBy("group").parquet(path)
         # One row a slice reaches the driver: a dozen numbers each.
-        stats = chunks.sparkSession.read.parquet(path).filter("group = -1 AND chunk = -1").select("counts").collect()
+        stats = chunks.sparkSession.read.schema(f"{REPLY_SCHEMA}, group long").parquet(path).filter("group = -1 AND chunk = -1").select("counts").collect()
         sums = np.sum([unpack(r["counts"]) for r in stats], axis=0) if stats else np.zeros(RARE + 3, np.int64)
         levels.append(Level(tuple(int(x) for x in sums[: RARE + 1]), int(sums[-2]), int(sums[-1])))
         tables.append(_Replies(path, groups))
