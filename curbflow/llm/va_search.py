@@ -62,7 +62,7 @@ def cell_edges(vectors: DataFrame, bits: int) -> dict[int, np.ndarray]:
 
 
 def approximation_file(vectors: DataFrame, edges: dict[int, np.ndarray], block: int) -> DataFrame:
-    """Rows of up to ``block`` vectors: their ids and one cell number a component."""
+    """Rows of up to ``block`` vectors: their row numbers, ids and one cell number a component."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,13 +73,12 @@ def approximation_file(vectors: DataFrame, edges: dict[int, np.ndarray], block:
                     codes = np.zeros(m.shape, np.uint8)
                     for d in range(dim):
                         codes[:, d] = np.searchsorted(edges[dim][d], m[:, d], "right") - 1
-                    ids = piece.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim]), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())],
-                        ["dim", "ids", "codes"],
-                    )
+                    names = [piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("row", "id")]
+                    packed = [pa.array([raw], pa.binary()) for raw in (*names, codes.tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array([dim]), *packed], ["dim", "rows", "ids", "codes"])
 
-    return written(vectors.select("dim", "id", "v").mapInArrow(pack, "dim long, ids binary, codes binary"), "va-file")
+    schema = "dim long, rows binary, ids binary, codes binary"
+    return written(vectors.select("dim", "row", "id", "v").mapInArrow(pack, schema), "va-file")
 
 
 def _query_blocks(path: str, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -97,6 +96,11 @@ def _selector(root: str):
     return pafs.FileSelector(root)
 
 
+def _rounds(edges: dict[int, np.ndarray], dim: int) -> bool:
+    """Whether inner products of vectors within the cells can leave the exact range of doubles."""
+    return dim in edges and sum(int(x) ** 2 for x in np.abs(edges[dim]).max(1)) >= 1 << 52
+
+
 def _bounds(file: DataFrame, queries: str, edges: dict[int, np.ndarray], k: int, threshold: bool) -> DataFrame:
     """Scan the cells. Without thresholds: per query and block, the k-th best lower bound. With
     them: the candidates whose upper bound reaches the query's threshold."""
@@ -105,21 +109,24 @@ def _bounds(file: DataFrame, queries: str, edges: dict[int, np.ndarray], k: int,
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids = np.frombuffer(row["ids"], np.int64)
+                rows, ids = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), dim)
                 low, high = np.zeros(codes.shape), np.zeros(codes.shape)
                 for d in range(dim):
                     low[:, d] = edges[dim][d][codes[:, d]]
                     high[:, d] = edges[dim][d][codes[:, d].astype(np.int64) + 1] - 1
+                # Beyond 2^53 sums of doubles round: bounds are then widened by more than they can be off.
+                widest = np.maximum(np.abs(low), np.abs(high)) if _rounds(edges, dim) else None
                 for query_dim, block in _query_blocks(queries, 256):
                     if query_dim != dim:
                         continue
                     q = _matrix(block.column("v"), dim).astype(np.float64)
                     up, down = np.maximum(q, 0), np.minimum(q, 0)
                     names = block.column("query").to_numpy(zero_copy_only=False)
+                    slack = 0.0 if widest is None else (np.abs(q) @ widest.T) * (4 * dim * np.finfo(np.float64).eps)
                     own = block.column("id").to_numpy(zero_copy_only=False)[:, None] == ids[None, :]
                     if not threshold:
-                        bound = up @ low.T + down @ high.T
+                        bound = up @ low.T + down @ high.T - slack
                         bound[own] = -np.inf
                         if len(ids) > k:
                             best = np.partition(bound, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -128,12 +135,12 @@ def _bounds(file: DataFrame, queries: str, edges: dict[int, np.ndarray], k: int,
                                 [pa.array(names[good]), pa.array(best[good])], ["query", "bound"]
                             )
                         continue
-                    bound = up @ high.T + down @ low.T
+                    bound = up @ high.T + down @ low.T + slack
                     bound[own] = -np.inf
                     floor = block.column("threshold").fill_null(-np.inf).to_numpy(zero_copy_only=False)
                     r, c = np.nonzero((bound >= floor[:, None]) & ~own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[r]), pa.array(ids[c]), pa.array(bound[r, c])], ["query", "candidate", "bound"]
+                        [pa.array(names[r]), pa.array(rows[c]), pa.array(bound[r, c])], ["query", "candidate", "bound"]
                     )
 
     schema = "query long, candidate long, bound double" if threshold else "query long, bound double"
@@ -156,19 +163,22 @@ def exact_top_k(
     Of equal vectors only the k + 1 smallest keys can be in any answer, so a very common vector is
     cut to those before the scan and nothing is lost. Null keys and vectors, and null components,
     take no part; vectors meet only those with as many components, and those of none score 0 among
-    themselves. Equal rows count once. Gives query_id, rank, vec_id and score; an empty table gives none.
+    themselves. Nor do vectors with a component whose square times their length exceeds 2^62 (2^28
+    at 64 components): no long holds their products. Equal rows count once; an id with several
+    vectors is several candidates, and each asks on its own where it is a query. Gives query_id, rank, vec_id and score; an empty table gives none.
     """
     spark = vectors.sparkSession
     whole = written(
         vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<bigint>").alias("v"), is_query.alias("_asks"))
         .filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
         .withColumn("dim", F.size("v").cast("long"))
+        .filter(F.forall("v", lambda x: F.abs(x.cast("double")) <= F.sqrt(F.lit(float(1 << 62)) / F.col("dim"))))
         .dropDuplicates(["id", "v"]),
         "va-vectors",
     )
     same = Window.partitionBy("v").orderBy("id")
     base = written(
-        whole.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).select("dim", "id", "v"), "va-exact"
+        whole.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).select("dim", "id", "v", F.monotonically_increasing_id().alias("row")), "va-exact"
     )
     asked = written(
         whole.filter("_asks").select("dim", "id", "v").withColumn("query", F.monotonically_increasing_id()), "va-queries"
@@ -183,22 +193,23 @@ def exact_top_k(
 
     lower = _bounds(file, stored(asked), edges, k, False).groupBy("query").agg(F.max("bound").alias("threshold"))
     with_floor = stored(asked.join(lower, "query", "left").select("dim", "id", "v", "query", "threshold"))
+    # Candidates are rows and not ids: an id may have several vectors.
     by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), "candidate")
     candidates = written(
         _bounds(file, with_floor, edges, k, True).withColumn("place", F.row_number().over(by_bound)), "va-candidates"
     )
 
     left = asked.select("query", F.col("v").alias("_qv"))
-    right = base.select(F.col("id").alias("candidate"), F.col("dim").alias("_dim"), F.col("v").alias("_cv"))
+    right = base.select(F.col("row").alias("candidate"), F.col("id").alias("vec_id"), F.col("dim").alias("_dim"), F.col("v").alias("_cv"))
 
     def exact(pairs: DataFrame) -> DataFrame:
         dot = F.aggregate(F.zip_with("_qv", "_cv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
         return (
             pairs.join(right, "candidate").join(left, "query").filter(F.size("_qv") == F.col("_dim"))
-            .select("query", "candidate", dot.alias("score"))
+            .select("query", "candidate", "vec_id", dot.alias("score"))
         )
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "candidate")
     done, first, size = None, 0, 2 * k
     while True:
         wave = candidates.filter((F.col("place") > first) & (F.col("place") <= first + size))
@@ -208,11 +219,11 @@ def exact_top_k(
         scored = written(exact(wave), "va-wave")
         if scored.isEmpty():
             break
-        merged = scored if done is None else scored.unionByName(done.select("query", "candidate", "score"))
+        merged = scored if done is None else scored.unionByName(done.select("query", "candidate", "vec_id", "score"))
         done = written(merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "va-best")
         first, size = first + size, 2 * size
     if done is None:
-        done = spark.createDataFrame([], "query long, candidate long, score long, rank int")
+        done = spark.createDataFrame([], "query long, candidate long, vec_id long, score long, rank int")
     return done.join(asked.select("query", F.col("id").alias("query_id")), "query").select(
-        "query_id", "rank", F.col("candidate").alias("vec_id"), "score"
+        "query_id", "rank", "vec_id", "score"
     )
