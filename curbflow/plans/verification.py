@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curbflow.operators.audit import latest_by
 from curbflow.plans.model_runs import CLASSIFY_MODEL, FORECAST_MODEL, SEGMENT_MODEL
-from curbflow.sources.files import TRIP_FILE
+from curbflow.sources.files import GOOD_FILE, TRIP_FILE
 
 # Metrics a model must report, and the closed range each must lie in.
 METRIC_BOUNDS = (
@@ -90,9 +90,10 @@ def missing_columns(zones: DataFrame) -> DataFrame:
 
 
 def verify_run(
-    flat: DataFrame, exported: DataFrame, zones: DataFrame, reconciled: DataFrame
+    flat: DataFrame, exported: DataFrame, zones: DataFrame, reconciled: DataFrame, proof: DataFrame
 ) -> DataFrame:
-    """What a run's own audit must show: types, files, balance, every mart and every model."""
+    """What a run must show: by its own audit, types, files, balance, every mart and every model; by
+    ``proof`` of its source files (``prove_files``), that each is there, whole and as recorded."""
     spark = flat.sparkSession
     wanted = spark.createDataFrame([(t,) for t in REQUIRED_EVENTS], "event_type string")
     seen = flat.select("event_type").distinct()
@@ -104,6 +105,7 @@ def verify_run(
     reports = (
         check("event_types", wanted.join(seen, "event_type", "left_anti"), "types never recorded"),
         check("files", foreign, "files with a foreign name or no size"),
+        check("proven_files", proof.where(~F.col("verdict").isin(*GOOD_FILE)), "files missing, foreign or not as recorded"),
         check("zone_columns", missing_columns(zones), "lookup columns are missing"),
         check("reconciliation", reconciled.where("NOT reconciled"), "row counts do not balance"),
         check("marts", last_status(gold, "quality_result", named, REQUIRED_MARTS, "PASSED"), "marts without a passed last event"),

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from curbflow.schema import PARTITION_COLUMNS
 from curbflow.settings import SERVICES
 
-# Fixed value: how a monthly trip file is named.
-TRIP_FILE = r"(?i)^(yellow|green|fhvhv|fhv)_tripdata_(\d{4})-(0[1-9]|1[0-2])\.parquet$"
+# How a monthly trip file is named; the name before the underscore is one of the services.
+TRIP_FILE = rf"(?i)^({'|'.join(SERVICES)})_tripdata_(\d{{4}})-(0[1-9]|1[0-2])\.parquet$"
 PARQUET_MAGIC = b"PAR1"
 CHUNK_BYTES = 8 * 1024 * 1024
 INTEGRITY_SCHEMA = "path string, size bigint, head string, tail string, sha256 string"
@@ -153,6 +153,72 @@ def reconcile_manifest(files: DataFrame, sidecars: DataFrame, manifest: DataFram
     )
 
 
+# What a file was met in, as bits of ``seen_in``.
+EXPECTED, LISTED, HASHED, IN_SIDECAR, IN_MANIFEST = 1, 2, 4, 8, 16
+# Verdicts under which a file is as it should be.
+GOOD_FILE = ("OK", "NOT_YET_PUBLISHED")
+
+
+def prove_files(
+    expected: DataFrame,
+    listed: DataFrame,
+    integrity: DataFrame,
+    sidecars: DataFrame,
+    manifest: DataFrame,
+    *,
+    historical_years: Sequence[int],
+    current_year: int | None = None,
+) -> DataFrame:
+    """Every file that is expected, present or recorded, with the first rule it breaks.
+
+    ``expected``: service, year, month, filename; ``listed``: path, length; ``integrity``: path,
+    size, sha256, parquet_magic as read from the bytes; ``sidecars`` and ``manifest`` as in
+    ``reconcile_manifest``, by url. The five are joined one after another on the file's name, so a
+    row says in ``seen_in`` where it was met. Rules in order: a name that is no trip file's, a year
+    outside the scope, absent (files of the current year may be), two places for one name, a length
+    that changed between listing and reading, then those of ``reconcile_manifest``.
+    """
+    name = "regexp_extract({}, '[^/]+$', 0) AS filename"
+    grid = expected.selectExpr("filename", "year AS due", f"{EXPECTED} AS e")
+    found = (
+        listed.selectExpr("path", name.format("path"), "length")
+        .groupBy("filename")
+        .agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("places"), F.lit(LISTED).alias("l"))
+    )
+    read = (
+        integrity.selectExpr(name.format("path"), "size", "sha256", "parquet_magic")
+        .groupBy("filename")
+        .agg(*[F.min(c).alias(c) for c in ("size", "sha256", "parquet_magic")], F.lit(HASHED).alias("h"))
+    )
+    checked = reconcile_manifest(
+        integrity.selectExpr(f"{name.format('path')}".replace("filename", "url"), "size", "sha256", "parquet_magic"),
+        sidecars.withColumn("url", F.regexp_extract("url", "[^/]+$", 0)),
+        manifest.withColumn("url", F.regexp_extract("url", "[^/]+$", 0)),
+    ).groupBy(F.col("url").alias("filename")).agg(F.min("verdict").alias("recorded"))
+    told = [
+        records.selectExpr(name.format("url"), f"{bit} AS {alias}").distinct()
+        for records, bit, alias in ((sidecars, IN_SIDECAR, "s"), (manifest, IN_MANIFEST, "m"))
+    ]
+    rows = grid
+    for side in (found, read, *told, checked):
+        rows = rows.join(side, "filename", "full_outer")
+    years = ", ".join(str(y) for y in (*historical_years, *([current_year] if current_year is not None else [])))
+    optional = f"due = {current_year}" if current_year is not None else "false"
+    return rows.withColumn("file_year", F.expr(f"CAST(nullif(regexp_extract(filename, r'{TRIP_FILE}', 2), '') AS int)")).selectExpr(
+        "filename",
+        "coalesce(e, 0) + coalesce(l, 0) + coalesce(h, 0) + coalesce(s, 0) + coalesce(m, 0) AS seen_in",
+        f"""CASE
+          WHEN file_year IS NULL THEN 'UNKNOWN_NAME'
+          WHEN file_year NOT IN ({years}) OR e IS NULL THEN 'OUT_OF_SCOPE'
+          WHEN l IS NULL AND {optional} AND s IS NULL AND m IS NULL THEN 'NOT_YET_PUBLISHED'
+          WHEN l IS NULL THEN 'FILE_ABSENT'
+          WHEN places > 1 THEN 'DUPLICATE'
+          WHEN NOT length <=> size THEN 'LISTED_SIZE'
+          ELSE recorded
+        END AS verdict""",
+    )
+
+
 def ingest_summary(manifest: DataFrame) -> DataFrame:
     """Transfers of a batch: how many, bytes moved, how many were already there."""
     return manifest.agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +14,12 @@ from curbflow.operators.reconcile import reconcile_counts
 from curbflow.plans.pipeline import LakePaths, build_silver, run_full
 from curbflow.plans.verification import verify_run
 from curbflow.session import scratch_path
-from curbflow.settings import SERVICES
-from curbflow.sources import sinks
-from curbflow.sources.files import file_inventory, list_files
+from curbflow.settings import SERVICES, SourceScope
+from curbflow.sources import files, sinks
+from curbflow.sources.catalog import expected_files
+from curbflow.sources.files import file_integrity, file_inventory, list_files
 from curbflow.sources.lake import EVENT_SCHEMA, FLAT_EVENT_SCHEMA, read_bronze, read_silver
+from curbflow.sources.links import page_links, published_only, trip_links
 from curbflow.workload.oracle_base import sql
 from curbflow.workload.registry import query
 from curbflow.workload.trips import family_files, family_frame, zone_lookup
@@ -68,6 +73,116 @@ def bronze_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("service", "year", "month", "filename")
 
 
+def _copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Copy files, up to a given number of bytes each."""
+    for batch in batches:
+        for row in batch.itertuples():
+            store, path = files.open_filesystem(row.path)
+            left = row.keep
+            with store.open_input_stream(path) as source, store.open_output_stream(files.open_filesystem(row.target)[1]) as out:
+                while left and (chunk := source.read(min(left, files.CHUNK_BYTES))):
+                    out.write(chunk)
+                    left -= len(chunk)
+        yield batch[["target"]]
+
+
+PROOF_YEARS = (2023,)
+_PROVEN: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def faulty_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A copy of the files with faults, and what was recorded of them while they were right.
+
+    A green file is gone, a yellow one of a year outside the scope is there, a fhv one has lost its
+    last bytes, and the record of a fhvhv one has another hash."""
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _PROVEN or not sinks.path_exists(spark, _PROVEN[slot][1]):
+        folder, records = scratch_path(spark, "faulty"), scratch_path(spark, "records")
+        listed = list_files(spark, bronze_files(spark, sf_dir), "*.parquet")
+        named = F.regexp_extract("path", "[^/]+$", 0)
+        spark.range(1).write.parquet(f"{folder}/made")  # the folder exists before tasks write into it
+        plan = listed.withColumn("filename", named).where("filename <> 'green_tripdata_2023-02.parquet'").selectExpr(
+            "path", "filename", "CASE WHEN filename = 'fhv_tripdata_2023-03.parquet' THEN length - 9 ELSE length END AS keep"
+        )
+        extra = plan.where("filename = 'yellow_tripdata_2023-01.parquet'").withColumn("filename", F.lit("yellow_tripdata_2031-01.parquet"))
+        wanted = plan.unionByName(extra).withColumn("target", F.concat(F.lit(f"{folder}/"), "filename"))
+        wanted.select("path", "target", "keep").mapInPandas(_copied, "target string").agg(F.count("target")).collect()
+        sinks.delete_path(spark, f"{folder}/made")
+        known = file_integrity(listed.where(named.rlike(files.TRIP_FILE))).withColumn("url", F.concat(F.lit("https://data.example.org/"), named))
+        known.select("url", "size", "sha256").write.parquet(records)
+        _PROVEN[slot] = folder, records
+    return _PROVEN[slot]
+
+
+def proof_of_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, records = faulty_files(spark, sf_dir)
+    listed = list_files(spark, folder, "*.parquet")
+    known = spark.read.parquet(records)
+    sidecars = known.selectExpr(
+        "url", "size AS size_bytes", "size AS content_length", "cast(null as string) AS etag",
+        "CASE WHEN url LIKE '%/fhvhv_tripdata_2023-04.parquet' THEN sha2(sha256, 256) ELSE upper(sha256) END AS sha256",
+    )
+    manifest = known.selectExpr("url", "size AS size_bytes", "sha256", "'VALIDATED' AS status", "'v1' AS etag")
+    grid = expected_files(spark, SourceScope(historical_years=PROOF_YEARS), include_current=False)
+    return files.prove_files(grid, listed, file_integrity(listed), sidecars, manifest, historical_years=PROOF_YEARS)
+
+
+_PROOF = """
+SELECT s || '_tripdata_2023-' || lpad(CAST(m AS VARCHAR), 2, '0') || '.parquet' AS filename,
+  CASE WHEN n IS NULL THEN 1 WHEN s = 'green' AND m = 2 THEN 25 ELSE 31 END AS seen_in,
+  CASE WHEN n IS NULL OR (s = 'green' AND m = 2) THEN 'FILE_ABSENT' WHEN s = 'fhv' AND m = 3 THEN 'PARQUET_MAGIC'
+    WHEN s = 'fhvhv' AND m = 4 THEN 'CHECKSUM' ELSE 'OK' END AS verdict
+FROM (SELECT unnest(['yellow', 'green', 'fhv', 'fhvhv']) AS s), (SELECT unnest(range(1, 13)) AS m)
+LEFT JOIN (SELECT service, month, count(*) AS n FROM canonical GROUP BY ALL) ON service = s AND month = m
+UNION ALL SELECT 'yellow_tripdata_2031-01.parquet', 6, 'OUT_OF_SCOPE'
+UNION ALL SELECT 'README.parquet', 6, 'UNKNOWN_NAME'
+"""
+
+
+@query("proven_files", sql(_PROOF, "canonical"))
+def proven_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid, listing, bytes, sidecars and manifest of real files with four planted faults."""
+    return proof_of_faulty(spark, sf_dir)
+
+
+@query("file_hashes", sql("""
+SELECT DISTINCT service || '_tripdata_2023-' || lpad(CAST(month AS VARCHAR), 2, '0') || '.parquet' AS filename,
+  NOT (service = 'fhv' AND month = 3) AS parquet_magic, true AS as_listed, true AS hash_found
+FROM canonical WHERE NOT (service = 'green' AND month = 2)
+""", "canonical"))
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, magic and hash read in chunks agree with the listing and with Spark's own hash of the
+    whole content; a cut file lacks its last magic bytes."""
+    folder, _ = faulty_files(spark, sf_dir)
+    listed = list_files(spark, folder, "*_tripdata_2023-*.parquet")
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*_tripdata_2023-*.parquet").load(folder)
+    own = whole.select("path", F.sha2("content", 256).alias("own_hash"))
+    return file_integrity(listed).join(listed, "path").join(own, "path").select(
+        F.regexp_extract("path", "[^/]+$", 0).alias("filename"), "parquet_magic",
+        (F.col("size") == F.col("length")).alias("as_listed"), (F.col("sha256") == F.col("own_hash")).alias("hash_found"),
+    )
+
+
+@query("published_files", """
+SELECT s AS service, CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month
+FROM (SELECT unnest(['yellow', 'green', 'fhv', 'fhvhv']) AS s), (SELECT unnest([2025, 2026]) AS y), (SELECT unnest(range(1, 13)) AS m)
+WHERE y = 2025 OR EXISTS (SELECT 1 FROM pages WHERE page_id % 13 <> 0 AND page_id % 9 + 1 = m AND page_id % 2 = 0 AND s IN ('yellow', 'fhvhv'))
+""")
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that count: all of the past years, and those of the current year that a page links to.
+    Each page gets a link to one file of this year, some inside a comment."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    named = F.format_string(
+        "<a class=x href='/trip-data/%s_tripdata_2026-%02d.parquet'>file</a>",
+        F.when(F.col("page_id") % 4 == 0, "yellow").otherwise("fhvhv"), F.col("page_id") % 9 + 1,
+    )
+    both = F.concat(named, F.replace(named, F.lit("yellow"), F.lit("fhvhv")), F.replace(named, F.lit("fhvhv"), F.lit("yellow")))
+    hidden = F.when(F.col("page_id") % 13 == 0, F.concat(F.lit("<!-- "), both, F.lit(" -->"))).when(F.col("page_id") % 2 == 0, both)
+    linked = trip_links(page_links(pages.withColumn("html", F.concat_ws(" ", hidden, "html"))))
+    scope = SourceScope(historical_years=(2025,), current_year=2026)
+    return published_only(expected_files(spark, scope), linked, [2025]).select("service", "year", "month")
+
+
 @query("bronze_scan", sql("""
 SELECT service, month, source_file, count(*) AS trips, count(pickup_location_id) AS with_origin, count(trip_distance) AS measured,
   sum(coalesce(total_amount, 0)) AS amount, count(vendor_id) AS with_vendor, count(request_datetime) AS requested
@@ -144,7 +259,8 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("verification_run", sql("""
-SELECT * FROM (VALUES ('event_types', false, 1::BIGINT), ('files', true, 0), ('zone_columns', true, 0), ('reconciliation', false,
+SELECT * FROM (VALUES ('event_types', false, 1::BIGINT), ('files', true, 0), ('zone_columns', true, 0),
+  ('proven_files', false, (SELECT 48 - count(DISTINCT (service, month)) FROM silver) + 5), ('reconciliation', false,
     (SELECT count(DISTINCT (service, month)) FROM silver WHERE NOT dq_valid AND month = 3 AND service = 'green')),
   ('marts', false, 1), ('models', false, 3), ('audit_export', true, 0)) t("check", passed, violations)
 """, "silver"))
@@ -164,4 +280,5 @@ def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = spark.read.schema(silver.schema).parquet(lake.layer("quarantine")).where("month <> 3 OR service <> 'green'")
     trips, _ = read_bronze(spark, bronze)
     balance = reconcile_counts(trips.select("service", "year", "month"), silver, lost)
-    return verify_run(flat, exported, zones, balance).select("check", "passed", "violations")
+    proof = proof_of_faulty(spark, sf_dir)
+    return verify_run(flat, exported, zones, balance, proof).select("check", "passed", "violations")
