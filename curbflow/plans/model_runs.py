@@ -44,6 +44,7 @@ METRICS_SCHEMA = (
 )
 HISTORY = max(LAGS)
 STEPS_PER_CHECKPOINT = 10
+TRAINING_BYTES = 16 << 20
 
 
 @dataclass
@@ -81,7 +82,19 @@ def metrics_frame(spark: SparkSession, model: str, metrics: Mapping[str, Any]) -
 
 
 def _training_order(frame: DataFrame, *keys: str) -> DataFrame:
-    return frame.repartition(*keys).sortWithinPartitions(*keys)
+    """The frame in partitions of TRAINING_BYTES, hashed on its keys and sorted inside.
+
+    Trees are grown by many small jobs over the same rows, and a job lasts as long as its tasks take
+    to start. So the number of partitions follows from the rows, which are counted once, and not
+    from the shuffle setting.
+    """
+    rows = frame.persist()
+    width = 16 + 8 * len(frame.columns)
+    parts = max(1, -(-rows.count() * width // TRAINING_BYTES))
+    laid = rows.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
+    laid.count()
+    rows.unpersist()
+    return laid
 
 
 def _fit(pipeline: Pipeline, frame: DataFrame) -> PipelineModel:
@@ -96,7 +109,7 @@ def _fit(pipeline: Pipeline, frame: DataFrame) -> PipelineModel:
 def _split_features(panel: DataFrame, entity: str, test_days: int) -> DataFrame:
     complete = series.time_features(panel, entity=entity).dropna(subset=list(TIME_FEATURES))
     tagged = series.tag_split(complete, entity=entity, test_days=test_days)
-    return _training_order(tagged, entity, "trip_date").persist()
+    return _training_order(tagged, entity, "trip_date")
 
 
 def _split_summary(frame: DataFrame, purpose: str) -> tuple[int, int, Any]:
@@ -330,7 +343,7 @@ def segment_rows(plain: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def run_segmentation(source: DataFrame, settings: ModelSettings = ModelSettings()) -> ModelRun:
     """Cluster zones on standardised features; fails without k zones or k distinct vectors."""
-    features = _training_order(zone_features(source), "zone_id").persist()
+    features = _training_order(zone_features(source), "zone_id")
     per_vector = features.groupBy(*ZONE_FEATURES).agg(F.count(F.lit(1)).alias("n"))
     size = per_vector.agg(F.sum("n").alias("zones"), F.count(F.lit(1)).alias("vectors")).first()
     zones, vectors = size["zones"] or 0, size["vectors"]

@@ -14,12 +14,12 @@ from curbflow.operators import audit
 from curbflow.operators.reconcile import reconcile_counts, reconcile_total
 from curbflow.plans.contracts import CONTRACTS, build_contract
 from curbflow.plans.model_runs import ModelRun, all_metrics, run_models
+from curbflow.plans.model_store import publish_model
 from curbflow.settings import ANOMALY_THRESHOLD, SERVICES, ModelSettings, QualityLimits
 from curbflow.sources.files import TRIP_FILE, file_inventory, list_files
 from curbflow.sources.lake import EVENT_SCHEMA, read_bronze, read_silver, read_valid_trips
 from curbflow.sources.sinks import (
     append_events,
-    save_model,
     write_csv,
     write_mart,
     write_quarantine,
@@ -128,10 +128,10 @@ def build_marts(
 def build_models(
     spark: SparkSession, lake: LakePaths, settings: ModelSettings = ModelSettings()
 ) -> dict[str, ModelRun]:
-    """Fit the three models on the daily mart, save them and publish their result tables."""
+    """Fit the three models on the daily mart, save them with their cards and publish their results."""
     runs = run_models(spark.read.parquet(lake.mart("daily")), settings)
     for kind, run in runs.items():
-        save_model(run.model, lake.layer("models", kind))
+        publish_model(run, lake.layer("models", kind), spark)
         for name, frame in run.frames.items():
             write_result(frame, lake.layer("results", name))
     write_result(all_metrics(runs), lake.layer("results", "model_metrics"))

@@ -90,10 +90,11 @@ def missing_columns(zones: DataFrame) -> DataFrame:
 
 
 def verify_run(
-    flat: DataFrame, exported: DataFrame, zones: DataFrame, reconciled: DataFrame, proof: DataFrame
+    flat: DataFrame, exported: DataFrame, zones: DataFrame, reconciled: DataFrame, proof: DataFrame, unusable: DataFrame
 ) -> DataFrame:
     """What a run must show: by its own audit, types, files, balance, every mart and every model; by
-    ``proof`` of its source files (``prove_files``), that each is there, whole and as recorded."""
+    ``proof`` of its source files (``prove_files``), that each is there, whole and as recorded; and by ``unusable`` (``unusable_models``) that
+    every model can be loaded from where it was saved."""
     spark = flat.sparkSession
     wanted = spark.createDataFrame([(t,) for t in REQUIRED_EVENTS], "event_type string")
     seen = flat.select("event_type").distinct()
@@ -110,6 +111,7 @@ def verify_run(
         check("reconciliation", reconciled.where("NOT reconciled"), "row counts do not balance"),
         check("marts", last_status(gold, "quality_result", named, REQUIRED_MARTS, "PASSED"), "marts without a passed last event"),
         check("models", last_status(flat, "model_run", "model_name", REQUIRED_MODELS, "SUCCEEDED"), "models without a successful last run"),
+        check("stored_models", unusable, "models that cannot be loaded"),
         check("audit_export", lost, "events missing from the export"),
     )
     return reduce(DataFrame.unionByName, reports)

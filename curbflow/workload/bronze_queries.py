@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from curbflow.operators import audit
 from curbflow.operators.quality import with_quality
 from curbflow.operators.reconcile import reconcile_counts
+from curbflow.plans.model_runs import CLASSIFY_MODEL, FORECAST_MODEL, SEGMENT_MODEL
+from curbflow.plans.model_store import unusable_models
 from curbflow.plans.pipeline import LakePaths, build_silver, run_full
 from curbflow.plans.verification import verify_run
 from curbflow.session import scratch_path
@@ -262,7 +264,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (VALUES ('event_types', false, 1::BIGINT), ('files', true, 0), ('zone_columns', true, 0),
   ('proven_files', false, (SELECT 48 - count(DISTINCT (service, month)) FROM silver) + 5), ('reconciliation', false,
     (SELECT count(DISTINCT (service, month)) FROM silver WHERE NOT dq_valid AND month = 3 AND service = 'green')),
-  ('marts', false, 1), ('models', false, 3), ('audit_export', true, 0)) t("check", passed, violations)
+  ('marts', false, 1), ('models', false, 3), ('stored_models', false, 3), ('audit_export', true, 0)) t("check", passed, violations)
 """, "silver"))
 def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run without models, with one file's quarantine lost and one mart failing later: the report
@@ -281,4 +283,6 @@ def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips, _ = read_bronze(spark, bronze)
     balance = reconcile_counts(trips.select("service", "year", "month"), silver, lost)
     proof = proof_of_faulty(spark, sf_dir)
-    return verify_run(flat, exported, zones, balance, proof).select("check", "passed", "violations")
+    kinds = {FORECAST_MODEL: "forecast", SEGMENT_MODEL: "segmentation", CLASSIFY_MODEL: "classification"}
+    unusable = unusable_models(spark, {name: lake.layer("models", kind) for name, kind in kinds.items()})
+    return verify_run(flat, exported, zones, balance, proof, unusable).select("check", "passed", "violations")

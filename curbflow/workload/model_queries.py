@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbflow.operators import series
 from curbflow.plans import dimensions as dims
+from curbflow.plans import model_store
 from curbflow.plans.contracts import build_contract
 from curbflow.plans.measures import measure_by
 from curbflow.plans.model_runs import (
+    CLASSIFY_MODEL,
+    FORECAST_MODEL,
+    SEGMENT_MODEL,
     ModelRun,
+    recursive_forecast,
     run_classification,
     run_forecast,
     run_segmentation,
 )
 from curbflow.plans.pages import PAGES, page_query
 from curbflow.plans.star import FACTS, star_join
+from curbflow.plans.verification import check
+from curbflow.session import scratch_path
 from curbflow.settings import ModelSettings
+from curbflow.sources import sinks
 from curbflow.workload.oracle_base import sql
 from curbflow.workload.registry import query, tidied, tidy_sql
 from curbflow.workload.semantic_queries import dimension_frames
@@ -276,3 +290,108 @@ def measures_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = measure_by(result(spark, sf_dir, fact), fact)
         parts.append(wide.unpivot([], wide.columns, "measure", "value"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- stored models --------------------------------------------------------------------------
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> dict[str, ModelRun]:
+    """The three runs of this session, fitted where they are not yet."""
+    for table in ("forecast", "segments", "classification"):
+        result(spark, sf_dir, table)
+    return {m: _RUNS[spark.sparkContext.applicationId, sf_dir, m] for m in RUNNERS}
+
+
+def stored_models(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The three runs' models, saved below a folder of the shared store: name -> path."""
+    paths = {}
+    for run in fitted(spark, sf_dir).values():
+        paths[run.name] = f"{folder}/{run.name}"
+        model_store.publish_model(run, paths[run.name], spark)
+    return paths
+
+
+_CUTOFF = "(SELECT min(last) - 90 FROM (SELECT max(trip_date) AS last FROM {rows} WHERE lag_28 IS NOT NULL GROUP BY {entity}))"
+
+
+@query("loaded_predictions", sql(f"""
+SELECT 'time_series_gbt' AS model_name, count(*) AS predictions, count(*) FILTER (WHERE trip_date > {_CUTOFF.format(rows="features", entity="service_type")}) AS new_rows,
+  CAST(0 AS BIGINT) AS differing FROM features WHERE lag_28 IS NOT NULL
+UNION ALL SELECT 'random_forest_high_demand', count(*), count(*) FILTER (WHERE trip_date > {_CUTOFF.format(rows="zone_time", entity="zone_id")}),
+  0 FROM zone_time WHERE lag_28 IS NOT NULL
+UNION ALL SELECT 'kmeans_zones', count(*), count(*), 0 FROM zone_vectors
+""", "features", "zone_time", "zone_vectors"))
+def loaded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models read back from their folders predict as the fitted ones do, row by row, and know from
+    their cards which days are new to them."""
+    daily = mart(spark, sf_dir, "daily")
+    paths = stored_models(spark, sf_dir, scratch_path(spark, "models"))
+    parts = []
+    for run in fitted(spark, sf_dir).values():
+        stored = model_store.load_model(spark, paths[run.name])
+        own = replace(stored, model=run.model)
+        rows = model_store.feature_rows(run.name, daily)
+        both = model_store.predict(stored, model_store.predict(own, rows, "fitted"), "loaded")
+        fresh = F.lit(True) if stored.cutoff is None else F.col("trip_date") > F.lit(stored.cutoff)
+        parts.append(both.agg(
+            F.lit(run.name).alias("model_name"), F.count(F.lit(1)).alias("predictions"), F.count_if(fresh).alias("new_rows"),
+            F.count_if(~F.col("fitted").eqNullSafe(F.col("loaded"))).alias("differing"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("stored_model_faults", """
+SELECT * FROM (VALUES ('as saved', true, 0::BIGINT), ('faulty', false, 3)) t("check", passed, violations)
+""")
+def stored_model_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model's folder is gone, one has lost its card, one lies where another belongs."""
+    paths = stored_models(spark, sf_dir, scratch_path(spark, "models"))
+    whole = check("as saved", model_store.unusable_models(spark, paths), "models cannot be used").select("check", "passed", "violations")
+    sinks.delete_path(spark, f"{paths[FORECAST_MODEL]}/stages")
+    sinks.delete_path(spark, f"{paths[CLASSIFY_MODEL]}/card")
+    moved = {**paths, SEGMENT_MODEL: stored_models(spark, sf_dir, scratch_path(spark, "models"))[FORECAST_MODEL]}
+    broken = check("faulty", model_store.unusable_models(spark, moved), "models cannot be used").select("check", "passed", "violations")
+    return whole.unionByName(broken)
+
+
+# --- the recursion, with a model that SQL can state -----------------------------------------
+
+# Next day's trips by this line; it uses lags, a trailing mean and the calendar, and falls below zero.
+LINE = "0.5 * {lag_1} + 0.25 * {lag_7} + 0.25 * {mean} + 0.75 * ({day} - 4) - 0.05 * {trend}"
+
+
+def line_model(panel: DataFrame) -> PipelineModel:
+    encode = Pipeline(stages=[
+        StringIndexer(inputCol="service_type", outputCol="entity_index", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=["entity_index"], outputCols=["entity_vector"], dropLast=False),
+    ]).fit(panel)
+    line = LINE.format(lag_1="lag_1", lag_7="lag_7", mean="rolling_mean_28", day="day_of_week", trend="trend_days")
+    return PipelineModel([*encode.stages, SQLTransformer(statement=f"SELECT *, CAST({line} AS double) AS prediction FROM __THIS__")])
+
+
+_STEP = LINE.format(
+    lag_1="history[28]", lag_7="history[22]", mean="(list_sum(history) / 28)", day="dayofweek(last + h + 1)", trend="(last + h + 1 - first)"
+)
+
+
+@query("forecast_recursion_stated", sql(f"""
+SELECT service, forecast_date, horizon_day, {tidy_sql("forecast_trips", "forecast_lower_95")}
+FROM (
+  WITH RECURSIVE walk AS (
+    SELECT service_type, first, last, 0 AS h, history, NULL::DOUBLE AS next FROM (
+      SELECT service_type, min(trip_date) AS first, max(trip_date) AS last,
+        list(trip_count ORDER BY trip_date)[-28:] AS history FROM panel GROUP BY service_type)
+    UNION ALL
+    SELECT service_type, first, last, h + 1, list_append(history[2:], value), value FROM (
+      SELECT *, greatest(0.0::DOUBLE, {_STEP}) AS value FROM walk WHERE h < 30)
+  )
+  SELECT service_type AS service, CAST(last + h AS DATE) AS forecast_date, CAST(h AS INTEGER) AS horizon_day, next AS forecast_trips,
+    greatest(0.0::DOUBLE, next - 1.96 * 12.5) AS forecast_lower_95
+  FROM walk WHERE h > 0)
+""", "panel"))
+def forecast_recursion_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty days ahead, each prediction entering the history of the next, with a line as model."""
+    panel = series.complete_panel(series.daily_service(mart(spark, sf_dir, "daily")), entity="service_type")
+    ahead = recursive_forecast(line_model(panel), panel, horizon_days=30, rmse=12.5)
+    rows = ahead.select("service", "forecast_date", F.col("horizon_day").cast("int").alias("horizon_day"), "forecast_trips", "forecast_lower_95")
+    return tidied(rows, "forecast_trips", "forecast_lower_95")
