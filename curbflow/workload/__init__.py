@@ -14,6 +14,7 @@ MODULES = (
     "stated_queries",
     "bronze_queries",
     "lake_queries",
+    "reader_queries",
 )
 
 
