@@ -123,14 +123,19 @@ def _split_summary(frame: DataFrame, purpose: str) -> tuple[int, int, Any]:
     return row["train"], row["test"], row["cutoff"]
 
 
-def _encoded(entity: str) -> list:
+def _encoded(entity: str, *, one_hot: bool = True) -> list:
+    """Features of an entity's days. Without ``one_hot`` the entity is one nominal feature: the index
+    carries its categories as an attribute, and trees split on sets of them."""
+    index = StringIndexer(
+        inputCol=entity,
+        outputCol="entity_index",
+        handleInvalid="keep",
+        stringOrderType="alphabetAsc",
+    )
+    if not one_hot:
+        return [index, VectorAssembler(inputCols=[*TIME_FEATURES, "entity_index"], outputCol="features")]
     return [
-        StringIndexer(
-            inputCol=entity,
-            outputCol="entity_index",
-            handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ),
+        index,
         OneHotEncoder(
             inputCols=["entity_index"],
             outputCols=["entity_vector"],
@@ -384,8 +389,11 @@ def run_segmentation(source: DataFrame, settings: ModelSettings = ModelSettings(
 # --- classification -------------------------------------------------------------------------
 
 
-def classify_pipeline(settings: ModelSettings) -> Pipeline:
+def classify_pipeline(settings: ModelSettings, zones: int = 0) -> Pipeline:
+    """``zones``: how many there are, for trees over categories; bins must outnumber categories, the
+    one for zones unseen in training included."""
     forest = RandomForestClassifier(
+        maxBins=max(32, zones + 2) if settings.zones_as_categories else 32,
         labelCol="label",
         weightCol="class_weight",
         numTrees=settings.classify_trees,
@@ -394,7 +402,7 @@ def classify_pipeline(settings: ModelSettings) -> Pipeline:
         featureSubsetStrategy="sqrt",
         seed=settings.seed,
     )
-    return Pipeline(stages=[*_encoded("zone_id"), forest])
+    return Pipeline(stages=[*_encoded("zone_id", one_hot=not settings.zones_as_categories), forest])
 
 
 def confusion_counts(scored: DataFrame) -> DataFrame:
@@ -472,7 +480,8 @@ def run_classification(source: DataFrame, settings: ModelSettings = ModelSetting
     if set(weights) != {0, 1}:
         raise ValueError(f"training days need both classes, found {sorted(weights)}")
     weight = F.when(F.col("label") == 1.0, weights[1]).otherwise(weights[0])
-    model = _fit(classify_pipeline(settings), labelled.withColumn("class_weight", weight))
+    zones = train.agg(F.count_distinct("zone_id")).first()[0] if settings.zones_as_categories else 0
+    model = _fit(classify_pipeline(settings, zones), labelled.withColumn("class_weight", weight))
     test = frame.where("split = 'test'").withColumn("label", label)
     scored = model.transform(test).persist()
     confusion = confusion_counts(scored)

@@ -29,6 +29,9 @@ class SourceScope:
 
 @dataclass(frozen=True)
 class ModelSettings:
+    """``zones_as_categories``: the classifier takes a zone as one categorical feature, so its vectors
+    do not grow with the zones; otherwise, as published, as one feature a zone."""
+
     seed: int = 42
     horizon_days: int = 30
     forecast_test_days: int = 90
@@ -40,12 +43,13 @@ class ModelSettings:
     classify_trees: int = 100
     classify_depth: int = 10
     high_demand_quantile: float = 0.75
+    zones_as_categories: bool = False
 
     def __post_init__(self) -> None:
         bad = [
             f.name
             for f in fields(self)
-            if f.name not in ("seed", "high_demand_quantile") and getattr(self, f.name) <= 0
+            if f.name not in ("seed", "high_demand_quantile", "zones_as_categories") and getattr(self, f.name) <= 0
         ]
         if bad:
             raise ValueError(f"model settings must be positive: {', '.join(bad)}")
