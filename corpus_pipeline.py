@@ -1,7 +1,8 @@
 """A corpus from raw documents to token ids: filter, deduplicate, mix and encode.
 
 Every stage reads what the one before it wrote. All but the last return the columns of
-``documents``.
+``documents``, whatever else these are called. A null text counts as empty, keys may repeat, and an
+empty table passes through as one.
 """
 
 from __future__ import annotations
@@ -17,25 +18,38 @@ from curbflow.llm.source_mix import mixed_rows
 from curbflow.llm.substring_dedup import remove_repeats
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with the columns of these names renamed, for operators that add their own."""
+    return docs.withColumnsRenamed({n: f"_own_{n}" for n in names if n in docs.columns})
+
+
+def _back(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, those that were put aside under their own names."""
+    return docs.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in docs.columns else F.col(c) for c in like.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
+    """Documents that the quality classifier, fitted on the labelled ones, does not reject. Empty
+    texts have a score too; a text's score does not depend on its row."""
     model = train_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter("score >= 0.5").select(*docs.columns)
+    return _back(score_quality(_aside(docs, "score"), model).filter("score >= 0.5"), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates, that of the smallest key; texts without words
+    are in no group and stay."""
     return keep_first(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier documents hold; ``n_chars`` follows the text."""
-    kept = remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    """Documents without the passages that earlier documents hold; ``n_chars`` follows the text. Rows
+    with a null key neither lose nor remove any."""
+    kept = remove_repeats(_aside(docs, "n_words", "n_removed"))
+    return _back(kept.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words are never taken."""
     return mixed_rows(docs)
 
 
