@@ -146,3 +146,24 @@ def test_the_whole_run_is_its_stages_one_after_another(spark):
     assert got and {r["doc_id"] for r in got} <= ids
     assert whole.columns == ["doc_id", "source", "n_pieces", "ids", "round_trip"]
     assert all(r["round_trip"] for r in got)
+
+
+def test_columns_with_clashing_names_come_through(spark):
+    own = ["score", "n_words", "n_removed", "size", "ids", "component_id", "taken", "_row"]
+    docs = table(spark, SF_DIR, "documents").limit(60)
+    frame = written(docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in own]), "pipeline-test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, frame, SF_DIR), name)
+        assert after.schema == frame.schema, name
+        assert after.filter(" OR ".join(f"{n} <> concat('{n}-', doc_id)" for n in own)).isEmpty(), name
+        frame = after
+    assert frame.count() > 0
+
+
+def test_an_empty_table_passes_through(spark):
+    frame = table(spark, SF_DIR, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "quality_classifier":
+            continue  # a classifier needs labelled documents
+        frame = written(stage(spark, frame, SF_DIR), name)
+    assert frame.count() == 0
