@@ -420,6 +420,14 @@ def page_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_query(audit_contract(spark, sf_dir), PAGES["page_10"])
 
 
+@query("page_10_sliced", sql(page_sql(
+    "(SELECT * FROM audit_contract WHERE status = 'PASSED' AND service IN ('s3', 's6', 's9', 's12'))", "sum(metric_value)",
+    "sum(CASE WHEN status IN ('PASSED', 'OK') THEN metric_value END)", "category", "date", "series"), "audit_contract"))
+def page_10_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = {"status": ("PASSED",), "service": ("s3", "s6", "s9", "s12")}
+    return page_query(audit_contract(spark, sf_dir), PAGES["page_10"], chosen)
+
+
 # --- verification ---------------------------------------------------------------------------
 
 

@@ -272,3 +272,58 @@ FROM stated_segments s LEFT JOIN zones z ON s.pickup_location_id = z.location_id
     series="segment_label", metric_name="'Segmentación de zonas'", metric_value="total_trips", metric_aux="total_revenue",
     status="'CLUSTER'", detail="'K-Means sobre demanda, ingresos y comportamiento'"),
     "zone_id", "segment_id", "segment_label", "demand_rank", "total_trips", "origin_borough", "cluster_segment_name")
+
+
+# --- model pages with slicers and the model's own figure ------------------------------------
+
+# Page -> fact, slicers, the same in SQL, its two measures, and which stated metric stands for the
+# figure the page shows (name, scale), under which name.
+_SLICED = {
+    "page_07": (
+        "forecast", {"date_year": (2023,), "horizon_day": (1, 2, 5)}, "year(forecast_date) = 2023 AND horizon_day IN (1, 2, 5)",
+        "sum(forecast_trips)", "sum(forecast_upper_95)", ("accuracy", 100, "wmape_percent"),
+    ),
+    "page_08": (
+        "segments", {"origin_borough": ("ASIA", "EUROPE")},
+        "pickup_location_id IN (SELECT location_id FROM zones WHERE borough IN ('ASIA', 'EUROPE'))",
+        "count(DISTINCT pickup_location_id)", "sum(total_revenue) / sum(total_trips)", ("f1", 1, "silhouette"),
+    ),
+    "page_09": (
+        "classification", {"predicted_high_demand": (1,)}, "predicted_high_demand = 1",
+        "count(*) FILTER (WHERE actual_high_demand = predicted_high_demand) / count(*)::DOUBLE", "count(*)", ("weighted_recall", 1, "auc_roc"),
+    ),
+}
+
+
+def _sliced(page: str) -> None:
+    fact, chosen, condition, first, second, (metric, scale, stands_for) = _SLICED[page]
+    shown = PAGES[page]
+    rows = page_sql(f"(SELECT * FROM stated_{fact} WHERE {condition})", first, second, shown.category, shown.date, shown.series)
+
+    @query(f"{page}_sliced", sql(f"""
+SELECT * FROM ({rows}) UNION ALL
+SELECT 'model', NULL, NULL, NULL, CASE WHEN round(v, 6) = 0 THEN 0.0::DOUBLE ELSE round(v, 6) END, NULL
+FROM (SELECT max(metric_value) AS v FROM stated_metrics WHERE metric_name = '{metric}')
+""", f"stated_{fact}", "stated_metrics", "zones"))
+    def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The slicers reach every block but the model's."""
+        figures = stated(spark, sf_dir, "metrics").where(f"metric_name = '{metric}'").withColumns(
+            {"metric_name": F.lit(stands_for), "metric_value": F.col("metric_value") * scale}
+        )
+        return tidied(page_query(_star(spark, sf_dir, fact), shown, chosen, figures), "first", "second")
+
+
+for _page in _SLICED:
+    _sliced(_page)
+
+
+@query("measures_model_stated", sql(f"""
+SELECT * REPLACE ({tidy_sql("auc", "f1")}) FROM (
+  SELECT max(metric_value) FILTER (WHERE metric_name = 'weighted_recall') AS auc, max(metric_value) FILTER (WHERE metric_name = 'f1') AS f1
+  FROM stated_metrics)
+""", "stated_metrics"))
+def measured_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of model quality over tall metric rows; recall stands for the area under the curve."""
+    named = F.when(F.col("metric_name") == "weighted_recall", "auc_roc").otherwise(F.col("metric_name"))
+    rows = stated(spark, sf_dir, "metrics").withColumn("metric_name", named)
+    return tidied(measure_by(rows, "classification_metrics"), "auc", "f1")
