@@ -181,30 +181,43 @@ def run_full(
     """The whole path under audit; returns the lake's flattened events.
 
     Start and finish of the run, every file, the balance of every file, every mart and every model
-    become events, appended once at the end. A failure is recorded with its text and raised again.
+    become events. Each stage's are appended when it ends, the start before anything else, so a run
+    whose driver is lost shows how far it came. A failure is recorded with its text and raised again.
     Without ``settings`` the run stops after the marts.
     """
+    recorded = 0
     events = [audit.run_started(run_id, "full", {"bronze": bronze, "lake": lake.root})]
+
+    def record() -> None:
+        nonlocal recorded
+        append_events(audit.events_frame(spark, events), lake.layer("audit"))
+        recorded += len(events)
+        events.clear()
+
+    record()
     try:
         for file in file_inventory(list_files(spark, bronze, "*.parquet")).collect():
             origin = {"filename": file.filename, "service": file.service, "year": file.year, "month": file.month}
             events.append(
                 audit.file_status(run_id, origin, "VALIDATED", path=file.path, size_bytes=file.length)
             )
+        record()
         for row in build_silver(spark, bronze, lake).collect():  # one row per file
             events.append(audit.quality_result(run_id, "silver", "PASSED", **row.asDict()))
+        record()
         for name, rows in build_marts(spark, lake, zones).items():
             status = "PASSED" if rows else "FAILED"
             events.append(audit.quality_result(run_id, "gold", status, name=name, rows=rows))
+        record()
         if settings:
             for run in build_models(spark, lake, settings).values():
                 events.append(audit.model_run(run_id, run.name, run.metrics))
     except Exception as error:
         events.append(audit.run_finished(run_id, error=f"{type(error).__name__}: {error}"))
-        append_events(audit.events_frame(spark, events), lake.layer("audit"))
+        record()
         raise
-    events.append(audit.run_finished(run_id, events=len(events)))
-    append_events(audit.events_frame(spark, events), lake.layer("audit"))
+    events.append(audit.run_finished(run_id, events=recorded + len(events)))
+    record()
     flat = audit.flatten_events(spark.read.schema(EVENT_SCHEMA).parquet(lake.layer("audit")))
     if settings:
         publish_contracts(spark, lake, flat)
