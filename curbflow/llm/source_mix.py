@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +9,9 @@ from pyspark.sql import functions as F
 
 from curbflow.llm.common import word_array, written
 
-POINT_BITS = 48
-CELLS = 4096
-SLOTS_PER_CHUNK = 1 << 14
+POINT_BITS = 62
+CHUNK_BITS = 14  # slots ranked in one window, and slots drawn from one row
+TASK_SLOTS = 1 << 18
 LINE_BITS = 12
 
 
@@ -96,6 +95,51 @@ def _running(df: DataFrame, group: str, bucket: str, order: list, value: Column,
     )
 
 
+def schedule_slots(targets: DataFrame, block_words: int) -> DataFrame:
+    """The slots of the schedule that belong to each source: _id, _limit, slot and _chunk.
+
+    ``targets``: _id, _limit, _from and _all, the interval [_from, _from + _limit) of a line of _all
+    words. A source needs the first b indices whose van der Corput point lies in its interval. The
+    interval is a union of dyadic cells, at most two of a size, and the indices of a cell of size
+    2^-l are one arithmetic progression of step 2^l. So a source's slots are counted off directly:
+    up to (b + cells) / share they hold b at least and b + 2 cells at most, however small the share.
+    _chunk rises with the slot and has about 2^CHUNK_BITS slots of a source.
+    """
+    end = F.lit(1 << POINT_BITS)
+    sources = targets.filter("_limit > 0").select(
+        "_id", "_limit", F.ceil(F.col("_limit") / block_words).alias("_blocks"),
+        *[
+            F.expr(f"CAST({at} AS DECIMAL(19, 0)) * CAST({1 << POINT_BITS} AS DECIMAL(19, 0)) DIV CAST(_all AS DECIMAL(19, 0))").alias(name)
+            for at, name in (("_from", "_low"), ("_from + _limit", "_high"))
+        ],
+    ).withColumn("_share", (F.col("_high") - F.col("_low")) / end)
+    sized = sources.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(POINT_BITS)))).selectExpr(
+        "*", "shiftrightunsigned(_low + shiftleft(1L, _k) - 1, _k) AS _l", "shiftrightunsigned(_high, _k) AS _r",
+        f"{POINT_BITS} - _k AS _level",
+    ).filter("_l < _r")
+    odd_ends = F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1))
+    cells = (
+        sized.withColumn("_cell", F.explode(F.array_compact(odd_ends)))
+        .withColumn("_first", bit_reversed(F.expr("shiftleft(_cell, _k)")))
+        .withColumn("_cells", F.count("*").over(Window.partitionBy("_id")))
+        .withColumn("_until", F.ceil(F.least((F.col("_blocks") + F.col("_cells")) / F.col("_share"), end.cast("double"))))
+        .filter("_first < _until")
+        .withColumn("_last", F.expr("shiftrightunsigned(_until - _first - 1, _level)"))
+    )
+    # Rows of at most 2^CHUNK_BITS slots, in two steps, are spread before they are written out.
+    tasks = targets.agg(F.coalesce(F.sum("_limit"), F.lit(0))).first()[0] // (block_words * TASK_SLOTS) + 1
+    size = 1 << CHUNK_BITS
+    return (
+        cells.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("_last", 2 * CHUNK_BITS))))
+        .withColumn("_b", F.explode(F.sequence(F.col("_a") * size, F.least((F.col("_a") + 1) * size - 1, F.shiftright("_last", CHUNK_BITS)))))
+        .select("_id", "_limit", "_share", "_first", "_level", "_last", "_b")
+        .repartition(tasks, "_id", "_first", "_b")
+        .withColumn("_j", F.explode(F.sequence(F.col("_b") * size, F.least((F.col("_b") + 1) * size - 1, F.col("_last")))))
+        .withColumn("slot", F.col("_first") + F.expr("shiftleft(_j, _level)"))
+        .select("_id", "_limit", "slot", F.floor(F.col("slot") * F.col("_share") / size).alias("_chunk"))
+    )
+
+
 def mix_sources(
     df: DataFrame,
     block_words: int = 512,
@@ -111,9 +155,9 @@ def mix_sources(
     Slot ``i`` of the schedule belongs to the source whose interval of cumulative target shares
     holds the van der Corput point of ``i``. The k-th slot of a source takes the k-th block of
     ``block_words`` words of that source's documents in hashed order, read ``ceiling`` times over
-    at most; the last block is cut at the target. Prefixes of the sequence stray from a share by at
-    most 2 (log2 n / 3 + 1) points, and the schedule is drawn that much longer than the targets
-    need, so every source reaches its target exactly (in whole words).
+    at most; the last block is cut at the target. Every source is given as many slots as its target
+    has blocks, so it reaches the target exactly (in whole words); a source that is short of points
+    takes the next ones of its interval, which are solved for and not searched.
 
     A null text or one without words has size 0 and is never taken. A null source is a source of
     its own and weighs in last. Repeated rows and repeated or null keys are separate documents. A
@@ -121,7 +165,6 @@ def mix_sources(
     empty frames. Only the named columns are read, so others may have any name. ``row`` names a
     unique long column that the results carry as ``_row``, to find the input rows again.
     """
-    spark = df.sparkSession
     sized = written(
         df.select(F.col(key).alias("_key"), F.col(source).alias("_name"), F.size(word_array(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("_content"), (F.col(row) if row else F.lit(None)).cast("long").alias("_given"))
         .withColumn("_row", F.col("_given") if row else F.monotonically_increasing_id())
@@ -135,35 +178,7 @@ def mix_sources(
         "mix-targets",
     )
     joined = sized.join(targets, F.col("_name").eqNullSafe(F.col("_source"))).drop("_source")
-    total, smallest, sources = targets.agg(
-        F.coalesce(F.sum("_limit"), F.lit(0)), F.min(F.when(F.col("_limit") > 0, F.col("_limit"))), F.count("*")
-    ).first()
-
-    slots_needed = math.ceil(total / block_words)
-    drawn = 0
-    if total:
-        drawn = slots_needed
-        for _ in range(4):  # the margin depends on the length only through a logarithm
-            stray = 2 * (math.log2(max(drawn, 2)) / 3 + 1) + 1
-            drawn = slots_needed + math.ceil((stray + 1) * total / smallest)
-    unit = float(1 << POINT_BITS)
-    cells = targets.filter("_limit > 0").select(
-        "_id", "_limit",
-        (F.col("_from") / F.col("_all")).alias("_low"),
-        ((F.col("_from") + F.col("_limit")) / F.col("_all")).alias("_high"),
-    ).withColumn(
-        "_cell",
-        F.explode(F.sequence(F.floor(F.col("_low") * CELLS), F.least(F.floor(F.col("_high") * CELLS), F.lit(CELLS - 1)))),
-    )
-    schedule = (
-        spark.range(drawn)
-        .withColumn("_point", bit_reversed(F.col("id")) / F.lit(unit))
-        .withColumn("_cell", F.floor(F.col("_point") * CELLS))
-        .join(cells, "_cell")
-        .filter("_point >= _low AND _point < _high")
-        .select("_id", "_limit", F.col("id").alias("slot"), F.shiftright("id", int(math.log2(SLOTS_PER_CHUNK))).alias("_chunk"))
-    )
-    slots = _running(schedule, "_id", "_chunk", ["slot"], F.lit(1).cast("long"), "_block").filter(
+    slots = _running(schedule_slots(targets, block_words), "_id", "_chunk", ["slot"], F.lit(1).cast("long"), "_block").filter(
         F.col("_block") * block_words < F.col("_limit")
     ).select("_id", "_block", "slot")
 

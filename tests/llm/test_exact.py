@@ -27,7 +27,7 @@ from curbflow.llm.quality_mil import score_quality, train_quality  # noqa: E402
 from curbflow.llm.reply_trees import (  # noqa: E402
     conversation_digests, format_branches, format_turns, loss_text, parse_turns, root_paths,
 )
-from curbflow.llm.source_mix import bit_reversed, mix_sources, mixed_rows  # noqa: E402
+from curbflow.llm.source_mix import POINT_BITS, bit_reversed, mix_sources, mixed_rows, schedule_slots  # noqa: E402
 from curbflow.llm.substring_dedup import pack, remove_repeats, unpack  # noqa: E402
 from curbflow.llm.token_files import (  # noqa: E402
     build_levels, find_documents, key_occurrences, places, read_digests, text_encoder, write_token_files,
@@ -358,8 +358,42 @@ def test_mix_of_nothing(spark, empty):
     assert [r.taken for r in mix_sources(blank).documents.collect()] == [0, 0]
 
 
+def _stated_targets(spark, limits):
+    rows = [(i, limit, sum(limits[:i]), sum(limits)) for i, limit in enumerate(limits)]
+    return spark.createDataFrame(rows, "_id int, _limit long, _from long, _all long")
+
+
+def test_slots_are_the_first_points_of_every_interval(spark):
+    limits = [700, 1, 0, 64, 129, 2, 3104]
+    got: dict[int, list[int]] = {}
+    for r in schedule_slots(_stated_targets(spark, limits), 8).collect():
+        got.setdefault(r["_id"], []).append(r.slot)
+    point = [int(f"{i:013b}"[::-1], 2) / (1 << 13) for i in range(1 << 13)]
+    for i, limit in enumerate(limits):
+        low, high, blocks = sum(limits[:i]) / sum(limits), sum(limits[: i + 1]) / sum(limits), -(-limit // 8)
+        want = [n for n, p in enumerate(point) if low <= p < high][:blocks]
+        assert sorted(got.get(i, []))[:blocks] == want
+        assert len(set(got.get(i, []))) == len(got.get(i, [])) <= (blocks + 4 * POINT_BITS if blocks else 0)
+
+
+def test_schedule_does_not_grow_with_the_smallest_source(spark):
+    # Three words among 10^12: drawing to the first point there would take 10^11 slots and more.
+    limits, block_words = [10**12 // 3, 3, 2 * 10**12 // 3], 10**7
+    rows = schedule_slots(_stated_targets(spark, limits), block_words).groupBy("_id").count().collect()
+    needed = {i: -(-limit // block_words) for i, limit in enumerate(limits)}
+    assert len(rows) == 3
+    assert all(needed[r["_id"]] <= r["count"] <= needed[r["_id"]] + 4 * POINT_BITS for r in rows)
+
+
+def test_one_short_document_is_a_source(spark):
+    docs = spark.createDataFrame([(i, "a", "w " * 40) for i in range(3000)] + [(9999, "b", "one two three")], "doc_id long, source string, text string")
+    rows = {r.doc_id: r for r in mix_sources(docs, block_words=16).documents.collect()}
+    assert rows[9999].taken == rows[9999].target == 9
+    assert sum(r.taken for r in rows.values()) == 3000 * 40 + 3
+
+
 def test_points_are_bit_reversed(spark):
-    got = [r[0] for r in spark.range(6).select(bit_reversed(F.col("id")) / float(1 << 48)).collect()]
+    got = [r[0] for r in spark.range(6).select(bit_reversed(F.col("id")) / float(1 << POINT_BITS)).collect()]
     assert got == [0, 0.5, 0.25, 0.75, 0.125, 0.625]
 
 
