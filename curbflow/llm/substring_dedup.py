@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as pads
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,11 @@ WINDOW = 50
 ROWS = 2  # rows of the sketch
 SLICE_WINDOWS = 1 << 21  # windows a slice of the sketch is sized for
 WIDTH = 1 << 24  # counters in a row of a slice
-FLUSH = 1 << 19  # windows held before a partition sketch is packed
+FLUSH = 1 << 19  # windows held before a partition sketch is packed, at least
+MOST_HELD = 1 << 22  # and at most
+ROW_WINDOWS = 1 << 10  # windows a packed row should have for each slice
 GROUP_FLUSH = 1 << 18
+SALTS = 4  # parts in which a block's windows to remove are written
 
 
 def counters(h1: np.ndarray, h2: np.ndarray, slices: int, row: int) -> np.ndarray:
@@ -63,7 +66,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def _packed_rows(block: int, found: list[tuple[np.ndarray, np.ndarray]], slices: int) -> pa.RecordBatch:
-    """One row a slice and sketch row: the counters met once, and those met more often."""
+    """One row a slice that was met and sketch row: the counters met once, and those met more often."""
     out: dict[str, list] = {"slice": [], "block": [], "r": [], "once": [], "more": []}
     h1 = np.concatenate([a for a, _ in found])
     h2 = np.concatenate([b for _, b in found])
@@ -72,16 +75,15 @@ def _packed_rows(block: int, found: list[tuple[np.ndarray, np.ndarray]], slices:
         first = np.append(True, keys[1:] != keys[:-1])
         starts = np.flatnonzero(first)
         unique, twice = keys[starts], np.diff(np.append(starts, len(keys))) > 1
-        edges = np.searchsorted(unique, np.arange(slices + 1, dtype=np.uint64) * np.uint64(WIDTH))
-        for s in range(slices):
-            a, b = edges[s], edges[s + 1]
-            if a < b:
-                place, many = unique[a:b] - np.uint64(s * WIDTH), twice[a:b]
-                out["slice"].append(s)
-                out["block"].append(block)
-                out["r"].append(r)
-                out["once"].append(pack(place[~many]))
-                out["more"].append(pack(place[many]))
+        of = unique // np.uint64(WIDTH)
+        edges = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+        for a, b in zip(edges, edges[1:], strict=False):
+            place, many = unique[a:b] % np.uint64(WIDTH), twice[a:b]
+            out["slice"].append(int(of[a]))
+            out["block"].append(block)
+            out["r"].append(r)
+            out["once"].append(pack(place[~many]))
+            out["more"].append(pack(place[many]))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
@@ -103,11 +105,11 @@ def merge_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(replies, columns=["block", "slice", "r", "repeated"])
 
 
-def _stored_by_block(df: DataFrame, name: str, gather: bool = True) -> str:
-    """Stored in a folder a block. ``gather`` brings a block to one task, so that it is one file;
-    without it each task writes its own, for tables that are large."""
+def _stored_by_block(df: DataFrame, name: str, *salt: Column) -> str:
+    """Stored in a folder a block. A block is brought to one task, so that it is one file, or to as
+    many as ``salt`` has values."""
     path = scratch_path(df.sparkSession, name)
-    (df.repartition("block") if gather else df).write.partitionBy("block").parquet(path)
+    df.repartition("block", *salt).write.partitionBy("block").parquet(path)
     return path
 
 
@@ -165,12 +167,13 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
     """Where, by block, the windows are stored that start in two documents: their hashes and the
     smallest key they start in. A block lists a window only if it has one to remove."""
     slices = blocks.slices
+    flush = min(max(FLUSH, ROW_WINDOWS * slices), MOST_HELD)
     narrow = blocks.rows.select("_block", "_key", text)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, current = [], 0, None
         for block, _, keyed, run in _runs(batches, text):
-            if found and (block != current or held >= FLUSH):
+            if found and (block != current or held >= flush):
                 yield _packed_rows(current, found, slices)
                 found, held = [], 0
             current = block
@@ -219,7 +222,7 @@ def repeated_windows(blocks: _Blocks, text: str, window: int = WINDOW) -> str:
     listed = narrow.mapInArrow(lean(pick), "h1 long, h2 int, block long, low long, high long")
     same = Window.partitionBy("h1", "h2")
     hits = listed.withColumn("least", F.min("low").over(same)).filter("high > least").select("block", "h1", "h2", "least")
-    return _stored_by_block(hits, "dedup-hits", gather=False)
+    return _stored_by_block(hits, "dedup-hits", F.pmod("h2", F.lit(SALTS)))
 
 
 def _least(block: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:

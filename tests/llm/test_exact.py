@@ -28,7 +28,7 @@ from curbflow.llm.reply_trees import (  # noqa: E402
     conversation_digests, format_branches, format_turns, loss_text, parse_turns, root_paths,
 )
 from curbflow.llm.source_mix import POINT_BITS, bit_reversed, mix_sources, mixed_rows, schedule_slots  # noqa: E402
-from curbflow.llm.substring_dedup import pack, remove_repeats, unpack  # noqa: E402
+from curbflow.llm.substring_dedup import SALTS, WIDTH, _packed_rows, _write_blocks, counters, pack, remove_repeats, repeated_windows, unpack  # noqa: E402
 from curbflow.llm.token_files import (  # noqa: E402
     build_levels, find_documents, key_occurrences, places, read_digests, text_encoder, write_token_files,
 )
@@ -173,6 +173,36 @@ def test_repeats_removed_as_by_hand(docs, window):
     assert all(before[(r.doc_id, r.text)] for r in got if not r.n_removed)
 
 
+def test_packing_follows_the_windows_and_not_the_slices():
+    rng = np.random.default_rng(5)
+    h1, h2 = (rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(2))
+    h1[200:], h2[200:] = h1[:100], h2[:100]
+    got = _packed_rows(3, [(h1[:150], h2[:150]), (h1[150:], h2[150:])], 1 << 35).to_pylist()
+    for r in range(2):
+        want = Counter(counters(h1, h2, 1 << 35, r).tolist())
+        rows = [row for row in got if row["r"] == r]
+        assert len({row["slice"] for row in rows}) == len(rows) <= 200
+        for name, many in (("once", False), ("more", True)):
+            found = [row["slice"] * WIDTH + p for row in rows for p in unpack(row[name]).tolist()]
+            assert sorted(found) == sorted(k for k, n in want.items() if (n > 1) == many)
+
+
+def test_files_of_repeats_follow_the_blocks_and_not_the_tasks(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(60))) for i in range(240)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        blocks = _write_blocks(docs.repartition(6), "doc_id", "text")
+        path = repeated_windows(blocks, "text", 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = spark.read.parquet(path)
+    assert stored.select("block").distinct().count() == 6
+    assert len(stored.inputFiles()) <= 6 * SALTS
+
+
 def test_remove_repeats_of_nothing_and_columns(empty):
     got = remove_repeats(empty)
     assert got.count() == 0
