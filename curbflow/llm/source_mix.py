@@ -178,7 +178,8 @@ def mix_sources(
         "mix-targets",
     )
     joined = sized.join(targets, F.col("_name").eqNullSafe(F.col("_source"))).drop("_source")
-    slots = _running(schedule_slots(targets, block_words), "_id", "_chunk", ["slot"], F.lit(1).cast("long"), "_block").filter(
+    # Drawn rows have no size that the optimizer could see, so it is told not to broadcast them.
+    slots = _running(schedule_slots(targets, block_words).hint("merge"), "_id", "_chunk", ["slot"], F.lit(1).cast("long"), "_block").filter(
         F.col("_block") * block_words < F.col("_limit")
     ).select("_id", "_block", "slot")
 
@@ -197,7 +198,7 @@ def mix_sources(
         )
         .withColumn("_a", F.greatest("_start", F.col("_block") * block_words))
         .withColumn("_b", F.least("_end", (F.col("_block") + 1) * block_words))
-        .join(slots, ["_id", "_block"])
+        .join(slots.hint("merge"), ["_id", "_block"])
         .select(
             "slot", "_row", F.col("_key").alias(key), F.col("_name").alias(source), "epoch",
             (F.col("_a") - F.col("_start")).alias("first_word"), (F.col("_b") - F.col("_a")).alias("words"),
