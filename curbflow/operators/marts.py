@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -254,6 +256,77 @@ def route_performance(trips: DataFrame) -> DataFrame:
     )
 
 
+# Size parameter of a route's duration sketch. A rank read from it, merged or not, is off by less
+# than SKETCH_RANK_ERROR of the values; up to SKETCH_K values are kept as they are.
+SKETCH_K = 1600
+SKETCH_RANK_ERROR = 0.01
+
+ROUTE_COMPONENTS: dict[str, ColumnMaker] = {
+    "speed_sum": lambda: F.sum(speed_mph()),
+    "speed_known": lambda: F.count(speed_mph()),
+    "fare_per_mile_sum": lambda: F.sum(fare_per_mile()),
+    "fare_per_mile_known": lambda: F.count(fare_per_mile()),
+}
+ROUTE_SUMS = (
+    "trip_count",
+    "total_revenue",
+    "distance_miles",
+    "distance_known",
+    "duration_minutes",
+    "duration_known",
+    *ROUTE_COMPONENTS,
+)
+
+
+def route_base(trips: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Routes per month as additive components and a mergeable sketch of their durations.
+
+    Any coarser grain of months, services, zones and boroughs is summed from it by
+    ``route_rollup`` without reading trips again. The sums combine in hash aggregates; the sketch,
+    an object, is aggregated on its own over three columns and joined on the grain, so that where
+    that aggregate falls back to sorting it sorts narrow rows. Routes without a known duration have
+    a null sketch.
+    """
+    rows = trips.withColumns(
+        {"pickup_year": F.year("pickup_datetime"), "pickup_month": F.month("pickup_datetime")}
+    )
+    makers = {**COMPONENTS, **ROUTE_COMPONENTS}
+    sums = rows.groupBy(*ROUTE_GRAIN).agg(*(makers[n]().alias(n) for n in ROUTE_SUMS))
+    ids = (*MONTH, "service", "pickup_location_id", "dropoff_location_id")
+    sketches = (
+        rows.where("trip_duration_minutes IS NOT NULL")
+        .groupBy(*ids)
+        .agg(F.kll_sketch_agg_double("trip_duration_minutes", k).alias("duration_sketch"))
+        .withColumnsRenamed({n: f"_{n}" for n in ids})
+    )
+    same = reduce(and_, (sums[n].eqNullSafe(sketches[f"_{n}"]) for n in ids))
+    return sums.join(sketches, same, "left").drop(*(f"_{n}" for n in ids))
+
+
+def route_rollup(base: DataFrame, *grain: str, k: int = SKETCH_K) -> DataFrame:
+    """``route_base`` at a coarser grain: sums, averages and the median of the merged sketches."""
+    merged = base.groupBy(*grain).agg(
+        *(F.sum(n).alias(n) for n in ROUTE_SUMS),
+        F.kll_merge_agg_double("duration_sketch", k).alias("duration_sketch"),
+    )
+    derived = {
+        "avg_trip_distance": _ratio("distance_miles", "distance_known"),
+        "avg_trip_duration_minutes": _ratio("duration_minutes", "duration_known"),
+        "avg_speed_mph": _ratio("speed_sum", "speed_known"),
+        "avg_fare_per_mile": _ratio("fare_per_mile_sum", "fare_per_mile_known"),
+    }
+    return merged.select(
+        *grain,
+        "trip_count",
+        "total_revenue",
+        *(make().alias(name) for name, make in derived.items()),
+        F.when(
+            F.col("duration_known") > 0,
+            F.kll_sketch_get_quantile_double("duration_sketch", F.lit(0.5)),
+        ).alias("median_trip_duration_minutes"),
+    )
+
+
 def timeseries_base(daily: DataFrame) -> DataFrame:
     """Service-day roll-up of the daily mart, shaped for forecasting."""
     summed = daily.groupBy("pickup_date", *MONTH, "service").agg(

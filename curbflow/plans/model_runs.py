@@ -21,7 +21,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbflow.operators import series
@@ -293,6 +293,76 @@ def segment_pipeline(settings: ModelSettings) -> Pipeline:
     )
 
 
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+
+
+def segment_centres(model: PipelineModel) -> list[list[float]]:
+    """The fitted centres in standardised features, in order of cluster."""
+    return [[float(x) for x in centre] for centre in model.stages[-1].clusterCenters()]
+
+
+def standardised(features: DataFrame) -> DataFrame:
+    """Zones with their features as an array ``z`` of scores by sample deviation; a constant feature
+    scores 0. One row of means and deviations is read for it."""
+    stats = features.agg(
+        *(F.avg(n).alias(f"mean_{n}") for n in ZONE_FEATURES),
+        *(F.stddev_samp(n).alias(f"deviation_{n}") for n in ZONE_FEATURES),
+    ).first()
+
+    def score(name: str) -> Column:
+        mean, deviation = stats[f"mean_{name}"], stats[f"deviation_{name}"]
+        return (F.col(name) - mean) / deviation if deviation else F.lit(0.0)
+
+    return features.withColumn("z", F.array(*(score(n) for n in ZONE_FEATURES)))
+
+
+def nearest_centres(zones: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """``zones`` (with ``z``) and their nearest centre, ties to the smaller cluster: ``nearest_id``,
+    ``nearest_distance`` (squared)."""
+    def away(centre: Sequence[float]) -> Column:
+        gap = F.zip_with("z", _numbers(centre), lambda a, b: a - b)
+        return _dot(gap, gap)
+
+    near = F.array_min(F.array(*(F.struct(away(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))
+    return zones.withColumn("_near", near).select(
+        *zones.columns, F.col("_near.i").alias("nearest_id"), F.col("_near.d").alias("nearest_distance")
+    )
+
+
+def silhouettes(zones: DataFrame) -> DataFrame:
+    """Silhouette of each zone (``segment_id``, ``z``) by squared distances; alone in a cluster it is 0.
+
+    The mean squared distance from z to a cluster is |z|^2 + mean |y|^2 - 2 z . mean y, so one row of
+    means a cluster stands for its members and no pair of zones is formed."""
+    clusters = zones.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(_dot(F.col("z"), F.col("z"))).alias("norm"),
+        F.array(*(F.avg(F.col("z")[i]) for i in range(len(ZONE_FEATURES)))).alias("mean"),
+    ).collect()
+
+    def away(c: Any) -> Column:
+        return _dot(F.col("z"), F.col("z")) + c["norm"] - 2 * _dot(F.col("z"), _numbers(c["mean"]))
+
+    own = {c["segment_id"]: c for c in clusters}
+    inside, outside = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i, c in own.items():
+        here = F.col("segment_id") == i
+        inside = F.when(here, away(c) * (c["n"] / (c["n"] - 1)) if c["n"] > 1 else F.lit(None)).otherwise(inside)
+        others = [away(o) for j, o in own.items() if j != i]
+        outside = F.when(here, F.array_min(F.array(*others))).otherwise(outside)
+    score = (F.col("_out") - F.col("_in")) / F.greatest("_in", "_out")
+    return (
+        zones.withColumns({"_in": inside, "_out": outside})
+        .withColumn("silhouette", F.when(F.col("_in").isNull(), 0.0).when(F.greatest("_in", "_out") == 0, 0.0).otherwise(score))
+        .drop("_in", "_out")
+    )
+
+
 def segment_profiles(assigned: DataFrame) -> DataFrame:
     """One row per cluster with its rank by demand, label and share of the network.
 

@@ -95,8 +95,10 @@ def build_marts(
     month: int | None = None,
     anomaly_threshold: float = ANOMALY_THRESHOLD,
     high_demand_quantile: float = 0.75,
+    route_sketches: bool = False,
 ) -> dict[str, int]:
     """Write all nine marts; with a year and month only that month of the base marts is redone.
+    ``route_sketches`` adds the routes' components with mergeable medians, for coarser grains.
 
     Silver is read twice in all: once for the hourly base four marts are summed from, once for
     routes, whose median is not additive. Derived marts always see the full history.
@@ -112,6 +114,8 @@ def build_marts(
     for name, mart in FROM_BASE.items():
         rows[name] = write_mart(mart.build(base, from_base=True), lake.mart(name), **scope)
     rows["routes"] = write_mart(marts.route_performance(trips), lake.mart("routes"), **scope)
+    if route_sketches:
+        rows["route_base"] = write_mart(marts.route_base(trips), lake.mart("route_base"), **scope)
     daily = spark.read.parquet(lake.mart("daily"))
     hourly = spark.read.parquet(lake.mart("hourly"))
     derived = {

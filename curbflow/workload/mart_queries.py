@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,52 @@ def route_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidied(marts.route_performance(enriched_trips(spark, sf_dir)), *_ROUTE_R)
 
 
+_LEVELS = {
+    "month": ("pickup_year", "pickup_month", "service"),
+    "zone": ("pickup_location_id",),
+    "boroughs": ("pickup_borough", "dropoff_borough"),
+}
+_ROLLED_R = ("avg_trip_distance", *_ROUTE_R)
+_LOW, _HIGH = 0.5 - marts.SKETCH_RANK_ERROR, 0.5 + marts.SKETCH_RANK_ERROR
+
+
+def _level_key(grain: tuple[str, ...], function: str) -> str:
+    return f"{function}('/', {', '.join(f'CAST({n} AS {{}})' for n in grain)})"
+
+
+_ROLLED = " UNION ALL ".join(f"""
+SELECT '{level}' AS level, {_level_key(grain, "concat_ws").format(*["VARCHAR"] * len(grain))} AS key,
+  count(*) AS trip_count, coalesce(sum(total_amount), 0) AS total_revenue, avg(trip_distance) AS avg_trip_distance,
+  avg(trip_duration_minutes) AS avg_trip_duration_minutes,
+  avg(CASE WHEN trip_duration_minutes > 0 THEN trip_distance / (trip_duration_minutes / 60) END) AS avg_speed_mph,
+  avg(CASE WHEN trip_distance > 0 THEN total_amount / trip_distance END) AS avg_fare_per_mile,
+  quantile_disc(trip_duration_minutes, {_LOW}) AS median_at_least, quantile_disc(trip_duration_minutes, {_HIGH}) AS median_at_most,
+  CASE WHEN count(trip_duration_minutes) > 0 THEN true END AS median_within
+FROM enriched GROUP BY {", ".join(grain)}""" for level, grain in _LEVELS.items())
+
+
+@query("route_medians", sql(f"SELECT * REPLACE ({tidy_sql(*_ROLLED_R)}) FROM ({_ROLLED})", "enriched"))
+def route_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months, zones and pairs of boroughs from the routes' components and merged sketches. Trips are
+    read only for the exact quantiles that each merged median must lie between."""
+    base, trips = mart(spark, sf_dir, "route_base"), enriched_trips(spark, sf_dir).withColumns(
+        {"pickup_year": F.year("pickup_datetime"), "pickup_month": F.month("pickup_datetime")}
+    )
+    parts = []
+    for level, grain in _LEVELS.items():
+        key = F.expr(_level_key(grain, "concat_ws").format(*["string"] * len(grain)))
+        exact = trips.groupBy(key.alias("key")).agg(*(
+            F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY trip_duration_minutes)").alias(n)
+            for n, p in (("median_at_least", _LOW), ("median_at_most", _HIGH))
+        ))
+        rolled = marts.route_rollup(base, *grain).withColumns({"key": key, "level": F.lit(level)})
+        parts.append(rolled.drop(*grain).join(exact, "key", "left"))
+    rows = reduce(DataFrame.unionByName, parts).withColumn(
+        "median_within", F.expr("median_trip_duration_minutes BETWEEN median_at_least AND median_at_most")
+    )
+    return tidied(rows.drop("median_trip_duration_minutes"), *_ROLLED_R)
+
+
 @query("tip_factors", sql(
     f"SELECT * REPLACE ({tidy_sql("avg_trip_tip_rate", digits=9)}) FROM tips", "tips"))
 def tip_factors(spark: SparkSession, sf_dir: str) -> DataFrame:

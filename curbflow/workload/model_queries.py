@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.operators import series
+from curbflow.operators.zone_features import ZONE_FEATURES, zone_features
 from curbflow.plans import dimensions as dims
 from curbflow.plans import model_store
 from curbflow.plans.contracts import build_contract
@@ -20,10 +22,14 @@ from curbflow.plans.model_runs import (
     FORECAST_MODEL,
     SEGMENT_MODEL,
     ModelRun,
+    nearest_centres,
     recursive_forecast,
     run_classification,
     run_forecast,
     run_segmentation,
+    segment_centres,
+    silhouettes,
+    standardised,
 )
 from curbflow.plans.pages import PAGES, page_query
 from curbflow.plans.star import FACTS, star_join
@@ -292,14 +298,57 @@ def measures_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# --- the segmentation, from its centres ------------------------------------------------------
+
+_Z = ", ".join(
+    f"(CASE WHEN stddev_samp({n}) OVER () > 0 THEN ({n} - avg({n}) OVER ()) / stddev_samp({n}) OVER () ELSE 0 END)::DOUBLE AS z_{n}"
+    for n in ZONE_FEATURES
+)
+_Z_R = tuple(f"z_{n}" for n in ZONE_FEATURES)
+
+
+@query("segment_nearest", sql(f"""
+SELECT zone_id, true AS nearest_is_own, true AS as_scaled, {tidy_sql(*_Z_R)} FROM (SELECT zone_id, {_Z} FROM zone_vectors)
+""", "zone_vectors"))
+def segment_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones with features standardised in SQL: they are those the model clustered, and the centre
+    nearest by them, of the centres read from the fitted model, is the zone's own."""
+    run = fitted(spark, sf_dir, "segmentation")["segmentation"]
+    features = zone_features(mart(spark, sf_dir, "daily"))
+    scaled = run.model.transform(features).select("zone_id", "segment_id", vector_to_array("scaled_features").alias("scaled"))
+    zones = nearest_centres(standardised(features), segment_centres(run.model)).join(scaled, "zone_id")
+    gap = F.array_max(F.zip_with("z", "scaled", lambda a, b: F.abs(a - b)))
+    return tidied(zones.select(
+        "zone_id", (F.col("nearest_id") == F.col("segment_id")).alias("nearest_is_own"), (gap < 1e-9).alias("as_scaled"),
+        *(F.col("z")[i].alias(name) for i, name in enumerate(_Z_R)),
+    ), *_Z_R)
+
+
+@query("segment_cohesion", sql("""
+SELECT count(*) AS zones, true AS mean_is_metric, true AS each_in_range FROM zone_vectors
+""", "zone_vectors"))
+def segment_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes recomputed from standardised features and assignments; their mean is the metric."""
+    run = fitted(spark, sf_dir, "segmentation")["segmentation"]
+    features = zone_features(mart(spark, sf_dir, "daily"))
+    own = result(spark, sf_dir, "segments").select("zone_id", "segment_id")
+    each = silhouettes(standardised(features).join(own, "zone_id"))
+    return each.agg(
+        F.count(F.lit(1)).alias("zones"),
+        (F.abs(F.avg("silhouette") - run.metrics["silhouette"]) < 1e-9).alias("mean_is_metric"),
+        F.every(F.col("silhouette").between(-1, 1)).alias("each_in_range"),
+    )
+
+
 # --- stored models --------------------------------------------------------------------------
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> dict[str, ModelRun]:
-    """The three runs of this session, fitted where they are not yet."""
-    for table in ("forecast", "segments", "classification"):
-        result(spark, sf_dir, table)
-    return {m: _RUNS[spark.sparkContext.applicationId, sf_dir, m] for m in RUNNERS}
+def fitted(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, ModelRun]:
+    """Runs of this session, all three or those named, fitted where they are not yet."""
+    wanted = names or tuple(RUNNERS)
+    for name in wanted:
+        result(spark, sf_dir, RUNNERS[name][1][0])
+    return {m: _RUNS[spark.sparkContext.applicationId, sf_dir, m] for m in wanted}
 
 
 def stored_models(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:

@@ -273,6 +273,7 @@ BUILDERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "hourly": marts.hourly_profile,
     "finance": marts.service_financials,
     "routes": marts.route_performance,
+    "route_base": marts.route_base,
     "tips": marts.tip_factors,
 }
 
