@@ -20,6 +20,7 @@ from curbflow.sources.files import TRIP_FILE, file_inventory, list_files
 from curbflow.sources.lake import EVENT_SCHEMA, read_bronze, read_silver, read_valid_trips
 from curbflow.sources.sinks import (
     append_events,
+    delete_path,
     write_csv,
     write_mart,
     write_quarantine,
@@ -54,13 +55,15 @@ def build_silver(
     *,
     services: Sequence[str] = SERVICES,
     limits: QualityLimits = QualityLimits(),
+    filenames: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Write Silver and quarantine for every file found; returns the per-file reconciliation.
+    """Write Silver and quarantine for every file found, or for those named; returns the per-file
+    reconciliation.
 
     Source rows are counted from the files themselves, Silver and quarantine from what was
     written. A file that does not balance is an error.
     """
-    trips, inventory = read_bronze(spark, bronze, services)
+    trips, inventory = read_bronze(spark, bronze, services, filenames=filenames)
     observed = write_silver(with_quality(trips, limits), lake.layer("silver"))
     periods = inventory.select("service", "year", "month")
     silver = read_silver(spark, lake.layer("silver")).join(
@@ -86,27 +89,26 @@ def build_silver(
     return balance
 
 
-def build_marts(
+def build_base_marts(
     spark: SparkSession,
     lake: LakePaths,
     zones: DataFrame,
     *,
     year: int | None = None,
     month: int | None = None,
-    anomaly_threshold: float = ANOMALY_THRESHOLD,
-    high_demand_quantile: float = 0.75,
     route_sketches: bool = False,
 ) -> dict[str, int]:
-    """Write all nine marts; with a year and month only that month of the base marts is redone.
-    ``route_sketches`` adds the routes' components with mergeable medians, for coarser grains.
-
-    Silver is read twice in all: once for the hourly base four marts are summed from, once for
-    routes, whose median is not additive. Derived marts always see the full history.
-    """
+    """Write the marts summed from trips, of all months or of one; a month that has no valid trip
+    left loses its rows."""
     scope = {"year": year, "month": month}
     if (year is None) != (month is None):
         raise ValueError("scope a run by year and month together")
     trips = read_valid_trips(spark, lake.layer("silver"), zones, **scope)
+    names = ("base", *FROM_BASE, "routes", *(["route_base"] if route_sketches else []))
+    if year is not None and trips.isEmpty():
+        for name in names:
+            delete_path(spark, f"{lake.mart(name)}/pickup_year={year}/pickup_month={month}")
+        return dict.fromkeys(names, 0)
     rows = {"base": write_mart(marts.trip_base(trips), lake.mart("base"), **scope)}
     base = spark.read.parquet(lake.mart("base"))
     if year is not None:
@@ -116,6 +118,17 @@ def build_marts(
     rows["routes"] = write_mart(marts.route_performance(trips), lake.mart("routes"), **scope)
     if route_sketches:
         rows["route_base"] = write_mart(marts.route_base(trips), lake.mart("route_base"), **scope)
+    return rows
+
+
+def build_derived_marts(
+    spark: SparkSession,
+    lake: LakePaths,
+    *,
+    anomaly_threshold: float = ANOMALY_THRESHOLD,
+    high_demand_quantile: float = 0.75,
+) -> dict[str, int]:
+    """Write the marts that see the full history of the daily and hourly ones."""
     daily = spark.read.parquet(lake.mart("daily"))
     hourly = spark.read.parquet(lake.mart("hourly"))
     derived = {
@@ -124,9 +137,30 @@ def build_marts(
         "zone_profile_base": marts.zone_profile(daily),
         "demand_labels_base": demand_labels(hourly, high_demand_quantile),
     }
-    for name, frame in derived.items():
-        rows[name] = write_mart(frame, lake.mart(name))
-    return rows
+    return {name: write_mart(frame, lake.mart(name)) for name, frame in derived.items()}
+
+
+def build_marts(
+    spark: SparkSession,
+    lake: LakePaths,
+    zones: DataFrame,
+    *,
+    year: int | None = None,
+    month: int | None = None,
+    anomaly_threshold: float = ANOMALY_THRESHOLD,
+    high_demand_quantile: float = 0.75,
+    route_sketches: bool = False,
+) -> dict[str, int]:
+    """Write all nine marts; with a year and month only that month of the base marts is redone.
+    ``route_sketches`` adds the routes' components with mergeable medians, for coarser grains.
+
+    Silver is read twice in all: once for the hourly base four marts are summed from, once for
+    routes, whose median is not additive. Derived marts always see the full history.
+    """
+    base = build_base_marts(spark, lake, zones, year=year, month=month, route_sketches=route_sketches)
+    return base | build_derived_marts(
+        spark, lake, anomaly_threshold=anomaly_threshold, high_demand_quantile=high_demand_quantile
+    )
 
 
 def build_models(

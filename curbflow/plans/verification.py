@@ -77,8 +77,9 @@ def metric_bounds(metrics: DataFrame) -> DataFrame:
 def last_status(
     flat: DataFrame, event_type: str, key: str, expected: Sequence[str], good: str
 ) -> DataFrame:
-    """Those of ``expected`` whose last event of this type is not ``good``, or that have none."""
-    own = flat.where(f"event_type = '{event_type}'").withColumn("name", F.expr(key)).where("name IS NOT NULL")
+    """Those of ``expected`` whose last event of this type is not ``good``, or that have none. An
+    event of work skipped as done leaves the one before it standing."""
+    own = flat.where(f"event_type = '{event_type}' AND status <> 'SKIPPED'").withColumn("name", F.expr(key)).where("name IS NOT NULL")
     last = latest_by(own, "name").select("name", F.col("status").alias("last_status"))
     wanted = flat.sparkSession.createDataFrame([(n,) for n in expected], "name string")
     return wanted.join(last, "name", "left").where(f"coalesce(last_status, 'NONE') <> '{good}'")

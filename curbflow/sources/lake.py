@@ -67,9 +67,13 @@ def _schema_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_bronze(
-    spark: SparkSession, root: str, services: Sequence[str] = SERVICES
+    spark: SparkSession,
+    root: str,
+    services: Sequence[str] = SERVICES,
+    *,
+    filenames: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Canonical trips of every monthly file below ``root``, and the file inventory.
+    """Canonical trips of every monthly file below ``root``, or of those named, and their inventory.
 
     Published schemas drift in names and types, so files are grouped by the schema in their
     footers (read on the executors, files spread over the tasks) and each group is one scan: a
@@ -77,6 +81,8 @@ def read_bronze(
     One row per schema reaches the driver, with the paths it needs to plan the scan.
     """
     listing = list_files(spark, root, "*.parquet")
+    if filenames is not None:
+        listing = listing.where(F.regexp_extract("path", "[^/]+$", 0).isin(list(filenames)))
     inventory = file_inventory(listing, services)
     spread = trip_files(listing, services).select("path", "service").repartition(
         spark.sparkContext.defaultParallelism, "path"

@@ -15,6 +15,7 @@ MODULES = (
     "bronze_queries",
     "lake_queries",
     "reader_queries",
+    "resume_queries",
 )
 
 
