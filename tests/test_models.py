@@ -121,6 +121,28 @@ def test_one_class_is_refused(spark):
         runs.run_classification(spark.createDataFrame(flat, ZONE_SERIES_SCHEMA), SETTINGS)
 
 
+def test_holdout_of_one_class_is_scored_without_a_curve(spark):
+    """Demand falls before the holdout: no zone-day there is busy."""
+    rows = zone_series(120, 4)
+    calm = [(r[0], r[1], r[2], r[3], r[4], r[5] if r[0].toordinal() - rows[0][0].toordinal() < 95 else 1, *r[6:]) for r in rows]
+    run = runs.run_classification(spark.createDataFrame(calm, ZONE_SERIES_SCHEMA), SETTINGS)
+    assert {r.actual_high_demand for r in run.frames["classification"].collect()} == {0}
+    cells = {(c["actual_label"], c["predicted_label"]): c["count"] for c in run.frames["confusion"].collect()}
+    assert sum(cells.values()) == run.metrics["test_rows"] == 4 * 21 and cells[1, 0] == cells[1, 1] == 0
+    assert run.metrics["accuracy"] == cells[0, 0] / (4 * 21)
+    auc = run.frames["classification_metrics"].where("metric_name = 'auc_roc'").first()
+    assert auc.metric_value is None and not metric_bounds(run.frames["classification_metrics"]).where("metric_name = 'auc_roc'").first().in_range
+    run.release()
+
+
+def test_confusion_measure_has_the_classes_of_the_holdout(spark, monkeypatch):
+    from curbflow.workload import model_queries
+
+    cells = spark.createDataFrame([(0, 0, 5), (0, 1, 2), (1, 0, 0), (1, 1, 0)], "actual_label int, predicted_label int, count bigint")
+    monkeypatch.setattr(model_queries, "result", lambda *_: cells)
+    assert [tuple(r) for r in model_queries.measures_confusion(spark, "").collect()] == [(0, 7)]
+
+
 def test_metric_rows_and_bounds(spark):
     frame = runs.metrics_frame(
         spark, "kmeans_zones", {"k": 4, "ok": True, "silhouette": float("nan"), "cut": None, "tag": "x"}
