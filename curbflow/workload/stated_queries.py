@@ -290,7 +290,7 @@ _SLICED = {
     ),
     "page_09": (
         "classification", {"predicted_high_demand": (1,)}, "predicted_high_demand = 1",
-        "count(*) FILTER (WHERE actual_high_demand = predicted_high_demand) / count(*)::DOUBLE", "count(*)", ("weighted_recall", 1, "auc_roc"),
+        "count(*) FILTER (WHERE actual_high_demand = predicted_high_demand) / nullif(count(*), 0)::DOUBLE", "count(*)", ("weighted_recall", 1, "auc_roc"),
     ),
 }
 

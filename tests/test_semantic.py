@@ -98,6 +98,15 @@ def test_page_blocks_order_and_slicers(spark):
         page_query(star(spark), page, {"trip_count": [1]})
 
 
+def test_page_of_no_rows_still_shows_totals(spark):
+    """As GROUPING SETS (()) does in SQL: sums and ratios are null, counts are zero."""
+    rows = page_query(star(spark), PAGES["page_01"], {"date_year": [1999]}).collect()
+    assert [(r.block, r["first"], r["second"]) for r in rows] == [("total", None, None)]
+    cases = spark.sql("SELECT 'temporal_test' AS dataset_split, DATE'2023-01-02' AS prediction_date, 1 AS actual_high_demand, 0 AS predicted_high_demand")
+    rows = page_query(cases, PAGES["page_09"], {"predicted_high_demand": [1]}).collect()
+    assert [(r.block, r["first"], r["second"]) for r in rows] == [("total", None, 0.0)]
+
+
 @pytest.fixture(scope="module")
 def wide(spark):
     """One row carrying every column any contract asks for."""
