@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from curbflow.sources import sinks
 from curbflow.workload import bronze_queries, trips
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -35,3 +36,21 @@ def test_a_monthly_file_is_written_from_its_own_folder(spark):
     folder = bronze_queries.bronze_files(spark, SF_DIR)
     rows = spark.read.parquet(f"{folder}/green_tripdata_2023-03.parquet").agg(F.count(F.lit(1))).first()[0]
     assert rows == files.count() > 0
+
+
+def test_silver_is_written_without_sorting_its_months(spark, tmp_path, monkeypatch):
+    """Six months in one task, more than stay open: none is lost, and the setting is as it was."""
+    name, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", [], sinks._overwrite_partitions
+
+    def spied(*args):
+        seen.append(spark.conf.get(name))
+        plain(*args)
+
+    monkeypatch.setattr(sinks, "_overwrite_partitions", spied)
+    before = spark.conf.get(name)
+    rows = spark.range(60, numPartitions=1).selectExpr("id", "id % 5 > 0 AS dq_valid", "'green' AS service", "2023 AS year", "id % 6 + 1 AS month")
+    counts = sinks.write_silver(rows, str(tmp_path / "silver"))
+    assert counts == {"rows": 60, "valid_rows": 48, "invalid_rows": 12}
+    assert seen == ["4"] and spark.conf.get(name) == before
+    back = spark.read.parquet(str(tmp_path / "silver")).groupBy("month").count().collect()
+    assert {r.month: r["count"] for r in back} == dict.fromkeys(range(1, 7), 10)
