@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from curbflow.sources import sinks
@@ -54,3 +55,18 @@ def test_silver_is_written_without_sorting_its_months(spark, tmp_path, monkeypat
     assert seen == ["4"] and spark.conf.get(name) == before
     back = spark.read.parquet(str(tmp_path / "silver")).groupBy("month").count().collect()
     assert {r.month: r["count"] for r in back} == dict.fromkeys(range(1, 7), 10)
+
+
+def test_a_layer_is_written_without_sorting_its_partitions(spark, tmp_path, monkeypatch):
+    name, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def spied(self, *args):
+        seen.append(spark.conf.get(name))
+        plain(self, *args)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    before = spark.conf.get(name)
+    rows = spark.range(60, numPartitions=1).selectExpr("id", "id % 6 + 1 AS month")
+    back = trips.written(spark, str(tmp_path), "months", lambda: rows, "month", gathered=True)
+    assert seen == ["4"] and spark.conf.get(name) == before
+    assert {r.month: r["count"] for r in back.groupBy("month").count().collect()} == dict.fromkeys(range(1, 7), 10)
