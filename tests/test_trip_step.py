@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from curbflow.plans.pipeline import LakePaths, build_silver
 from curbflow.sources import sinks
 from curbflow.workload import bronze_queries, trips
 
@@ -70,3 +71,11 @@ def test_a_layer_is_written_without_sorting_its_partitions(spark, tmp_path, monk
     back = trips.written(spark, str(tmp_path), "months", lambda: rows, "month", gathered=True)
     assert seen == ["4"] and spark.conf.get(name) == before
     assert {r.month: r["count"] for r in back.groupBy("month").count().collect()} == dict.fromkeys(range(1, 7), 10)
+
+
+def test_a_balance_is_counted_once(spark, tmp_path):
+    """It stands without another look at the files, Silver and quarantine it was counted from."""
+    lake = LakePaths(str(tmp_path / "lake"))
+    balance = build_silver(spark, bronze_queries.bronze_files(spark, SF_DIR), lake)
+    assert balance.inputFiles() == []
+    assert balance.agg(F.sum("source_rows")).first()[0] == trips.trip_facts(spark, SF_DIR).count()
