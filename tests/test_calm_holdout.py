@@ -6,8 +6,10 @@ from pathlib import Path
 
 import pytest
 
+from curbflow.plans.pipeline import LakePaths, build_models
 from curbflow.settings import ModelSettings
 from curbflow.workload import all_queries, model_queries
+from curbflow.workload.trips import mart
 
 TABLES = Path("/root/testdata/sf0.01")
 SMALL = ModelSettings(forecast_trees=2, forecast_depth=2, classify_trees=4, classify_depth=4)
@@ -61,3 +63,12 @@ def test_a_calm_holdout_has_results(spark, calm, name, rows):
         assert [r.metric_name for r in got if r.metric_value is None] == ["auc_roc"]
     if name == "stored_model_faults":
         assert {(r.check, r.passed, r.violations) for r in got} == {("as saved", True, 0), ("faulty", False, 3)}
+
+
+def test_a_run_publishes_models_with_a_calm_holdout(spark, calm, tmp_path):
+    """The step of the full runs that fits, scores and stores the models of a lake."""
+    lake = LakePaths(str(tmp_path / "lake"))
+    mart(spark, calm, "daily").write.parquet(lake.mart("daily"))
+    assert set(build_models(spark, lake, SMALL)) == {"forecast", "segmentation", "classification"}
+    metrics = spark.read.parquet(lake.layer("results", "model_metrics", "parquet"))
+    assert [r.metric_name for r in metrics.where("metric_value IS NULL AND metric_text IS NULL").collect()] == ["auc_roc"]
